@@ -216,16 +216,15 @@ def leaks(
     item_id: str = "item_id",
     item_text: str = "text",
     *,
-    part: float = 0.4,
+    part: float = 0.5,
     least_hits: int = 4,
     gap: int = 16,
     block_chars: int = 20_000_000,
 ) -> DataFrame:
     """(doc_id, item_id, n_matched, n_words, coverage, first_word, last_word): the leaked items of every document.
 
-    A leak is one stretch that reproduces, unchanged and in order, at least ``part`` of the item's words; as some words
-    of a leaked half may be changed, ``part`` lies below a half.  ``first_word`` and ``last_word`` count the folded words
-    of the document.  Null and empty texts and items have no leaks, nor have items of fewer than %d words.  Equal
+    A leak is one stretch that reproduces at least ``part`` of the item's words, in order and but for their surface
+    unchanged.  ``first_word`` and ``last_word`` count the folded words of the document.  Null and empty texts and items have no leaks, nor have items of fewer than %d words.  Equal
     documents or items give a row each; the best stretch of a pair is listed once.
     """
     spark = documents.sparkSession

@@ -3,7 +3,7 @@
 Items are dealt into shards by a hash of their id and each shard is packed by itself, so that a task holds the sizes of
 one shard (16 bytes an item) and nothing grows with the collection.  Within a shard of n items
 
-1. items above an eighth of the capacity are *large*: sorted by size, cut into groups of equal cardinality, and rounded
+1. items above a third of the capacity are *large*: sorted by size, cut into groups of equal cardinality, and rounded
    up to the largest size of their group;
 2. the few sizes that remain are packed by configurations (how many items of each group fill one container): the linear
    program over all configurations is solved by column generation, pricing by a knapsack over the capacity, and its
@@ -95,7 +95,7 @@ class _Rooms:
         return container, space
 
 
-def pack_sizes(sizes: np.ndarray, capacity: int, groups: int = 40, large_part: int = 8) -> np.ndarray:
+def pack_sizes(sizes: np.ndarray, capacity: int, groups: int = 60, large_part: int = 3) -> np.ndarray:
     """The container of each item, numbered from 0.  Sizes lie between 1 and ``capacity``."""
     n = len(sizes)
     where = np.full(n, -1, np.int64)
