@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexigrove.durable import durable
+
 SCRIPTS = ("LATIN", "CYRILLIC", "GREEK")
 
 # Letters of the same shape in Latin, Cyrillic and Greek (- where a script has none), without accents.
@@ -197,6 +199,7 @@ def lookalike_pairs(classes: DataFrame) -> DataFrame:
     Classes are narrowed to those of several texts by their distinct (class, text) alone; texts are paired, then
     replaced by their documents, so that copies of one text never meet each other.
     """
+    classes = durable(classes)  # three narrow columns; whole texts are read and folded once
     texts = classes.select("class_id", "text_id").distinct()
     mixed = texts.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("class_id")
     members = classes.join(mixed, "class_id", "left_semi")
