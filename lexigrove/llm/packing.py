@@ -182,16 +182,17 @@ def _pack_shard(shard: int, doc: np.ndarray, tokens: np.ndarray, capacity: int)
     )
 
 
-def pack(counts: DataFrame, capacity: int = 1024, shard_items: int = SHARD_ITEMS) -> DataFrame:
+def pack(counts: DataFrame, capacity: int = 1024, shard_items: int = SHARD_ITEMS, n_items: int | None = None) -> DataFrame:
     """(doc_id, n_tokens, piece, n_pieces, shard, container, piece_tokens): where each piece of a document lies.
 
-    ``counts`` holds doc_id and n_tokens.  A container is named by (shard, container).  A document of more than
+    ``counts`` holds doc_id and n_tokens; ``n_items``, the number of its rows, saves counting them, which matters where
+    the tokens are still to be counted.  A container is named by (shard, container).  A document of more than
     ``capacity`` tokens is cut into full containers and a rest (the last piece), no other is cut.  Documents without
     tokens have 0 pieces and no container, in one row.  Repeated ids are packed as separate documents.  An empty table
     gives an empty result.
     """
-    n = counts.count()
-    shards = max(1, math.ceil(n / shard_items))
+    n_items = counts.count() if n_items is None else n_items
+    shards = max(1, math.ceil(n_items / shard_items))
     dealt = counts.select("doc_id", "n_tokens", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"))
     schema = "doc_id BIGINT, n_tokens BIGINT, piece INT, n_pieces INT, shard INT, container BIGINT, piece_tokens BIGINT"
     return dealt.repartition(shards, "shard").mapInArrow(_packed(capacity), schema)

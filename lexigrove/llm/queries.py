@@ -71,7 +71,9 @@ def p5_term_frequencies(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(tokens.with_token_counts(table(spark, folder, "documents"), "doc_id", "text"), 1024)
+    documents = table(spark, folder, "documents")
+    counts = tokens.with_token_counts(documents, "doc_id", "text")
+    return packing.pack(counts, 1024, n_items=documents.select(F.lit(1)).count())
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
