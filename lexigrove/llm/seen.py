@@ -90,7 +90,7 @@ class StackedBloom:
 
     def query_then_insert(self, hashes: np.ndarray) -> np.ndarray:
         """For each hash in order, whether it may have come before; then it counts as seen."""
-        _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        first = np.sort(np.unique(hashes, return_index=True)[1])  # in order of arrival: sorted hashes would fill block by block
         seen = np.ones(len(hashes), bool)
         unique = hashes[first]
         known = self.query(unique)
