@@ -193,9 +193,10 @@ def together(
     """
     spark = df.sparkSession
     n_rows = df.select(F.lit(1)).count()
-    listed = (F.col(items) if isinstance(items, str) else items).alias("items")
-    whole = F.filter("items", lambda i: i["name"].isNotNull() & i["value"].isNotNull())
-    rows = df.select(listed).select(F.array_distinct(F.transform(whole, lambda i: F.struct(i["name"].alias("name"), i["value"].alias("value")))).alias("items"))
+    listed = df.select((F.col(items) if isinstance(items, str) else items).alias("items"))
+    if listed.schema["items"].dataType.elementType.names != ["name", "value"]:
+        listed = listed.select(F.transform("items", lambda i: F.struct(i["name"].alias("name"), i["value"].alias("value"))).alias("items"))
+    rows = listed.select(F.array_distinct(F.filter("items", lambda i: i["name"].isNotNull() & i["value"].isNotNull())).alias("items"))
     counted = rows.select(F.explode("items").alias("i")).groupBy("i.name", "i.value").agg(F.count(F.lit(1)).alias("n_item"))
     code = lambda name, value: F.xxhash64(F.lit(seed), name, value)
     known = durable(counted.withColumn("code", code(F.col("name"), F.col("value"))))

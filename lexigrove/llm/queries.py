@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrove.functions.items import distinct_items, usable_entries
+from lexigrove.functions.items import usable_entries
 from lexigrove.llm import freq, glyphs, heavy, leak, packing, pairs, seen, tokens
 from lexigrove.tables import table
 
@@ -39,7 +39,7 @@ def _pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs that 0.3% of all rows hold, 10 rows at least."""
     docs = table(spark, folder, "docs")
     n = docs.select(F.lit(1)).count()
-    return pairs.together(docs, distinct_items("fields"), min_count=max(10, -(-3 * n // 1000)))
+    return pairs.together(docs, usable_entries("fields"), min_count=max(10, -(-3 * n // 1000)))
 
 
 _PAIR = ("name_a", "value_a", "name_b", "value_b")
