@@ -146,10 +146,11 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build_sketch(hashes: DataFrame, shape: SketchShape, tasks: int | None = None) -> HierarchicalSketch:
     """The sketch of a one-column table of 64-bit hashes.
 
-    At most ``tasks`` partial sketches are made (default: four for each core), so that what is shuffled does not grow
+    At most ``tasks`` partial sketches are made (default: four for each core, or one for each shuffle partition), so that what is shuffled does not grow
     with the number of input splits; only the finished sketch, whose size ``shape`` fixes, comes to the driver.
     """
-    tasks = tasks or 4 * hashes.sparkSession.sparkContext.defaultParallelism
+    spark = hashes.sparkSession
+    tasks = tasks or max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     slots = len(HierarchicalSketch(shape).cells) // _BLOCK
     partial = hashes.coalesce(tasks).mapInArrow(_partial(shape), "slot INT, cells BINARY")
     sketch = HierarchicalSketch(shape)
