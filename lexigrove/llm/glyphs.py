@@ -196,7 +196,7 @@ def lookalike_classes(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 def lookalike_pairs(classes: DataFrame) -> DataFrame:
     """(doc_id_a, doc_id_b): pairs of documents of one class whose texts are not equal, the smaller id first.
 
-    Classes are narrowed to those of several texts by their distinct (class, text) alone; texts are paired, then
+    Documents without an id are in no pair, nor are two of one id.  Classes are narrowed to those of several texts by their distinct (class, text) alone; texts are paired, then
     replaced by their documents, so that copies of one text never meet each other.
     """
     classes = durable(classes)  # three narrow columns; whole texts are read and folded once
@@ -208,5 +208,5 @@ def lookalike_pairs(classes: DataFrame) -> DataFrame:
     pairs = pairs.select(F.col("x.class_id").alias("class_id"), F.col("x.text_id").alias("text_x"), F.col("y.text_id").alias("text_y"))
     x = members.select("class_id", F.col("text_id").alias("text_x"), F.col("doc_id").alias("doc_x"))
     y = members.select("class_id", F.col("text_id").alias("text_y"), F.col("doc_id").alias("doc_y"))
-    joined = pairs.join(x, ["class_id", "text_x"]).join(y, ["class_id", "text_y"])
+    joined = pairs.join(x, ["class_id", "text_x"]).join(y, ["class_id", "text_y"]).where("doc_x <> doc_y")
     return joined.select(F.least("doc_x", "doc_y").alias("doc_id_a"), F.greatest("doc_x", "doc_y").alias("doc_id_b")).distinct()

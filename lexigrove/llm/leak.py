@@ -178,12 +178,12 @@ class ItemIndex:
         return top
 
 
-_SCHEMA = "doc_id BIGINT, item_id BIGINT, n_matched INT, n_words INT, coverage DOUBLE, first_word INT, last_word INT"
+_SCHEMA = "doc_id BIGINT, text_hash BIGINT, item_id BIGINT, n_matched INT, n_words INT, coverage DOUBLE, first_word INT, last_word INT"
 
 
 def _scan(index: ItemIndex, part: float, least: int, gap: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        doc_ids, texts, text_hashes = (c.to_pylist() for c in batch.columns)
         for at in range(0, len(texts), 1000):
             parts = [index.word_ids_of(t) for t in texts[at : at + 1000]]
             stop = np.array([-1])
@@ -196,15 +196,15 @@ def _scan(index: ItemIndex, part: float, least: int, gap: int, batches: Iterator
                 if result > found.get((d, item), (0, 0, 0)):
                     found[d, item] = result
             rows = [
-                (doc_ids[at + d], index.item_ids[item], n, len(index.word_ids[item]), n / len(index.word_ids[item]), first, last)
+                (doc_ids[at + d], text_hashes[at + d], index.item_ids[item], n, len(index.word_ids[item]), n / len(index.word_ids[item]), first, last)
                 for (d, item), (n, first, last) in found.items()
                 if n >= part * len(index.word_ids[item])
             ]
             if rows:
                 columns = list(zip(*rows))
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32())
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "n_matched", "n_words", "coverage", "first_word", "last_word"]
+                    [pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "text_hash", "item_id", "n_matched", "n_words", "coverage", "first_word", "last_word"]
                 )
 
 
@@ -221,21 +221,23 @@ def leaks(
     gap: int = 16,
     block_chars: int = 20_000_000,
 ) -> DataFrame:
-    """(doc_id, item_id, n_matched, n_words, coverage, first_word, last_word): the leaked items of every document.
+    """(doc_id, text_hash, item_id, n_matched, n_words, coverage, first_word, last_word): the leaked items of every document.
 
     A leak is one stretch that reproduces at least ``part`` of the item's words, in order and but for their surface
-    unchanged.  ``first_word`` and ``last_word`` count the folded words of the document.  Null and empty texts and items have no leaks, nor have items of fewer than %d words.  Equal
-    documents or items give a row each; the best stretch of a pair is listed once.
+    unchanged.  ``first_word`` and ``last_word`` count the folded words of the document; ``text_hash`` tells texts of one
+    id apart.  Null and empty texts and items have no leaks, nor have items of fewer than %d words.  Equal documents or
+    items give a row each, null ids included; the best stretch of a pair is listed once.
     """
     spark = documents.sparkSession
     listed = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where(F.length("text") > 0)
     n_chars = listed.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     blocks = math.ceil(n_chars / block_chars)
     narrow = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.length("text") > 0)
+    narrow = narrow.withColumn("text_hash", F.xxhash64("text"))
     result = spark.createDataFrame([], _SCHEMA)
     for block in range(blocks):
         chosen = listed if blocks == 1 else listed.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-        index = ItemIndex([(r[0], r[1]) for r in sorted(chosen.collect())])  # one block, of about block_chars characters
+        index = ItemIndex([(r[0], r[1]) for r in sorted(chosen.collect(), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))])  # one block, of about block_chars characters
         sent = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -263,13 +265,13 @@ def _without(text: str, spans: list[tuple[int, int]]) -> str:
 def scrubbed(documents: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text", *, whole: bool = False) -> DataFrame:
     """(doc_id, text): ``documents`` without the leaked spans, or without the documents that have any (``whole``).
 
-    ``found`` is the result of ``leaks`` on the same documents.  Documents without leaks, null texts among them, stay as
-    they are.
+    ``found`` is the result of ``leaks`` on the same documents.  Documents without leaks, null texts among them, and
+    documents without an id stay as they are; with ``whole``, all documents of an id that has leaks go.
     """
     narrow = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     if whole:
         return narrow.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
-    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("first_word", "last_word")).alias("spans"))
+    spans = found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first_word", "last_word")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,4 +281,5 @@ def scrubbed(documents: DataFrame, found: DataFrame, doc_id: str = "doc_id", tex
             ]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return narrow.join(spans, "doc_id", "left").mapInArrow(run, "doc_id BIGINT, text STRING")
+    known = narrow.withColumn("text_hash", F.xxhash64("text")).join(spans, ["doc_id", "text_hash"], "left")
+    return known.select("doc_id", "text", "spans").mapInArrow(run, "doc_id BIGINT, text STRING")

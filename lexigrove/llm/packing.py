@@ -144,9 +144,10 @@ def _packed(capacity: int):
         if not held:
             return
         whole = pa.Table.from_batches(held)
-        shard, doc, tokens = (whole[c].to_numpy() for c in ("shard", "doc_id", "n_tokens"))
-        order = np.lexsort((doc, tokens, shard))
-        shard, doc, tokens = shard[order], doc[order], tokens[order]
+        shard, tokens = whole["shard"].to_numpy(), whole["n_tokens"].combine_chunks().fill_null(0).to_numpy()
+        doc = whole["doc_id"].combine_chunks()
+        order = np.lexsort((doc.fill_null(-(1 << 63)).to_numpy(), tokens, shard))
+        shard, doc, tokens = shard[order], doc.take(pa.array(order)), tokens[order]
         edges = np.r_[0, np.nonzero(np.diff(shard))[0] + 1, len(shard)]
         for a, b in zip(edges, edges[1:]):
             yield _pack_shard(int(shard[a]), doc[a:b], tokens[a:b], capacity)
@@ -154,7 +155,7 @@ def _packed(capacity: int):
     return run
 
 
-def _pack_shard(shard: int, doc: np.ndarray, tokens: np.ndarray, capacity: int) -> pa.RecordBatch:
+def _pack_shard(shard: int, doc: pa.Array, tokens: np.ndarray, capacity: int) -> pa.RecordBatch:
     """Pieces with their containers.  Only documents longer than a container are cut: full containers and a rest."""
     full = np.where(tokens > capacity, tokens // capacity, 0)
     rest = tokens - full * capacity
@@ -170,7 +171,7 @@ def _pack_shard(shard: int, doc: np.ndarray, tokens: np.ndarray, capacity: int)
     container = np.r_[where[owner[:n_rest]], n_shared + np.arange(len(of_full))]
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(doc[owner]),
+            doc.take(pa.array(owner)),
             pa.array(tokens[owner]),
             pa.array(np.r_[full[owner[:n_rest]], piece], pa.int32()),
             pa.array((full + fits)[owner], pa.int32()),
@@ -188,7 +189,8 @@ def pack(counts: DataFrame, capacity: int = 1024, shard_items: int = SHARD_ITEMS
     ``counts`` holds doc_id and n_tokens; ``n_items``, the number of its rows, saves counting them, which matters where
     the tokens are still to be counted.  A container is named by (shard, container).  A document of more than
     ``capacity`` tokens is cut into full containers and a rest (the last piece), no other is cut.  Documents without
-    tokens have 0 pieces and no container, in one row.  Repeated ids are packed as separate documents.  An empty table
+    tokens (or a null number of them) have 0 pieces and no container, in one row.  Repeated and null ids are packed as
+    separate documents.  An empty table
     gives an empty result.
     """
     n_items = counts.count() if n_items is None else n_items

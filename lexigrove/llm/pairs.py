@@ -1,8 +1,8 @@
 """Items that appear together: pair counts by heavy-light decomposition, and their lift.
 
-Items are coded by a 64-bit hash in the JVM.  The frequent ones are *heavy*: at least one record in 64 holds each, so
-that there are at most 64 times as many as items in an average record, whatever the size of the collection.  Map tasks
-take records in blocks and count
+Items are coded by a 64-bit hash in the JVM.  The frequent ones are *heavy*: at least one record in 64 holds each, and of
+those the 2,048 most frequent are taken; which items are heavy decides how a pair is counted, not whether.  Map tasks take
+records in blocks and count
 
 * heavy-heavy pairs in a dense bit matrix (a row of bits per heavy item): AND and popcount,
 * mixed pairs by probing: the records of a light item, looked up in the bit matrix read by records,
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from lexigrove.durable import durable
 
 HEAVY_PART = 64
+HEAVY_MOST = 2048
 _ROWS = 1 << 15
 _ENTRIES = 1 << 19
 _PAIRS = 1 << 21
@@ -208,8 +209,8 @@ def together(
     kept = None
     if n_frequent <= keep_at_most:
         kept = np.sort(np.asarray(frequent.select("code").toPandas()["code"], np.int64))
-    # at most 64 times the mean number of items in a row, as each lies in one row of 64
-    heavy = known.where(F.col("n_item") * HEAVY_PART >= max(n_rows, HEAVY_PART * min_count)).select("code").toPandas()["code"].to_numpy(np.int64)
+    dense = known.where(F.col("n_item") * HEAVY_PART >= max(n_rows, HEAVY_PART * min_count))
+    heavy = dense.orderBy(F.desc("n_item"), "code").limit(HEAVY_MOST).select("code").toPandas()["code"].to_numpy(np.int64)
 
     coded = rows.select(F.transform("items", lambda i: code(i["name"], i["value"])).alias("codes")).where(F.size("codes") > 1)
     sc = spark.sparkContext

@@ -93,7 +93,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
-    return _leaks(spark, folder)
+    return _leaks(spark, folder).drop("text_hash")
 
 
 def p7_scrubbed(spark: SparkSession, folder: str) -> DataFrame:

@@ -163,9 +163,9 @@ def seen_before(
 ) -> SeenResult:
     """Decide for every row of ``df`` whether its ``key`` occurred in a row with a smaller ``order``.
 
-    ``order`` is an integer column, unique per row; ties are taken as arrivals in any order.  A null or empty key is no
-    key: it is neither seen nor remembered.  A false ``maybe_seen`` is always right; a true one is wrong with
-    probability ``fpr`` at most, unless ``certain`` is true.  ``absent``: rows whose ``absent_key`` is known not to occur
+    ``order`` is an integer column; of rows with equal ``order`` none comes before the other.  A null or empty key is no
+    key, and a row without an order comes after nothing: it is neither seen nor remembered.  A false ``maybe_seen`` is
+    always right; a true one is wrong with probability ``fpr`` at most, unless ``certain`` is true.  ``absent``: rows whose ``absent_key`` is known not to occur
     in ``df``, for measuring errors; null and empty ones are left out.  Other columns are never read.  Empty tables give
     empty results.
 
@@ -178,7 +178,7 @@ def seen_before(
     capacity = math.ceil(1.2 * expected / parts) + 1024
 
     rows = df.select(F.col(order).cast("long").alias("ord"), F.col(key).cast("string").alias("key"))
-    usable = F.length("key") > 0
+    usable = (F.length("key") > 0) & F.col("ord").isNotNull()
     keyed = rows.where(usable).select(F.lit(1).alias("kind"), "ord", "key")
     combined = keyed.mapInArrow(_combine, "kind INT, ord BIGINT, key STRING, again BOOLEAN")
     routed = combined.where("NOT again").select("kind", "ord", "key")

@@ -41,11 +41,12 @@ def test_leaks(spark, block_chars):
     items, docs = _fixture()
     surface = lambda ws: ", ".join(ws).replace("a", "а").replace("word", "wo­rd")
     rows = [(k, " ".join(ws), "x", 1) for k, (ws, _) in docs.items()] + [(100 + k, surface(ws), "x", 1) for k, (ws, _) in docs.items()]
-    rows += [(200, None, "x", 1), (201, "", "x", 1), (1, rows[0][1], "x", 1)]
+    rows += [(200, None, "x", 1), (201, "", "x", 1), (1, rows[0][1], "x", 1), (None, rows[0][1], "x", 1)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    its = spark.createDataFrame([(k, " ".join(ws).title()) for k, ws in items.items()] + [(50, None), (51, ""), (52, "too short")], "item_id BIGINT, text STRING")
+    its = spark.createDataFrame([(k, " ".join(ws).title()) for k, ws in items.items()] + [(50, None), (51, ""), (52, "too short"), (None, "a b c"), (None, "a b")], "item_id BIGINT, text STRING")
     found = leaks(df, its, block_chars=block_chars)
-    got = sorted((r.doc_id, r.item_id) for r in found.collect())
+    got = sorted((r.doc_id, r.item_id) for r in found.where("doc_id IS NOT NULL").collect())
+    assert [r.item_id for r in found.where("doc_id IS NULL").collect()] == [0]
     expected = [(k + plus, i) for k, (_, want) in docs.items() for plus in (0, 100) for i in want]
     assert got == sorted([*expected, (1, 0)])
     whole = {(r.doc_id, r.item_id): r for r in found.collect()}[1, 0]
@@ -55,13 +56,16 @@ def test_leaks(spark, block_chars):
 def test_removal(spark):
     items, docs = _fixture()
     df = spark.createDataFrame([(k, " ".join(ws), "x", 1) for k, (ws, _) in docs.items()] + [(200, None, "x", 1)], SCHEMA)
+    df = df.unionByName(spark.createDataFrame([(1, "another text", "x", 1), (None, "no id", "x", 1)], SCHEMA))
     its = spark.createDataFrame([(k, " ".join(ws)) for k, ws in items.items()], "item_id BIGINT, text STRING")
     found = leaks(df, its)
-    kept = {r.doc_id: r.text for r in scrubbed(df, found).collect()}
+    rest = scrubbed(df, found).collect()
+    assert {"another text", "no id"} <= {r.text for r in rest} and len(rest) == len(docs) + 3
+    kept = {r.doc_id: r.text for r in rest if r.text not in ("another text", "no id")}
     assert set(kept) == {*docs, 200} and kept[200] is None and kept[6] == " ".join(docs[6][0])
     assert kept[1].split() == docs[1][0][:50] + docs[1][0][110:] and kept[8].split() == docs[8][0][67:76]
     assert leaks(spark.createDataFrame(list(kept.items()), "doc_id BIGINT, text STRING"), its).count() == 0
-    assert {r.doc_id for r in scrubbed(df, found, whole=True).collect()} == {5, 6, 9, 10, 200}
+    assert {r.doc_id for r in scrubbed(df, found, whole=True).collect()} == {5, 6, 9, 10, 200, None}
 
 
 def test_repeated_items_are_found(spark):

@@ -44,9 +44,11 @@ SCHEMA = "doc_id BIGINT, n_tokens BIGINT, shard STRING"
 
 def test_pieces(spark):
     rng = np.random.default_rng(4)
-    rows = [(int(i), int(rng.integers(0, 400)), "x") for i in range(2000)] + [(5000, 1024, "x"), (5001, 1025, "x"), (5002, 2048, "x"), (5003, 300_000, "x"), (5004, 0, "x"), (7, 9, "x"), (7, 9, "x")]
+    rows = [(int(i), int(rng.integers(0, 400)), "x") for i in range(2000)] + [(5000, 1024, "x"), (5001, 1025, "x"), (5002, 2048, "x"), (5003, 300_000, "x"), (5004, 0, "x"), (7, 9, "x"), (7, 9, "x"), (None, 30, "x"), (None, 2000, "x"), (6000, None, "x")]
     got = pack(spark.createDataFrame(rows, SCHEMA), 1024, shard_items=500).collect()
     load, pieces = defaultdict(int), defaultdict(list)
+    assert [(r.n_tokens, r.container) for r in got if r.doc_id == 6000] == [(0, None)]
+    rows[-1] = (6000, 0, "x")
     for r in got:
         pieces[r.doc_id, r.n_tokens].append(r)
         if r.container is None:
