@@ -201,11 +201,11 @@ def together(
     counted = rows.select(F.explode("items").alias("i")).groupBy("i.name", "i.value").agg(F.count(F.lit(1)).alias("n_item"))
     code = lambda name, value: F.xxhash64(F.lit(seed), name, value)
     known = durable(counted.withColumn("code", code(F.col("name"), F.col("value"))))
-    clashes = known.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    if not clashes.isEmpty():
-        return together(df, items, min_count=min_count, keep_at_most=keep_at_most, seed=seed + 1)
     frequent = known.where(F.col("n_item") >= min_count)
-    n_frequent = frequent.count()
+    by_code = known.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.max("n_item").alias("n_item"))
+    clashes, n_frequent = by_code.agg(F.count_if(F.col("n") > 1), F.count_if(F.col("n_item") >= min_count)).first()
+    if clashes:
+        return together(df, items, min_count=min_count, keep_at_most=keep_at_most, seed=seed + 1)
     kept = None
     if n_frequent <= keep_at_most:
         kept = np.sort(np.asarray(frequent.select("code").toPandas()["code"], np.int64))
