@@ -42,6 +42,9 @@ def validation_error(id: Column | str, fields: Column | str) -> Column:
     ``id``, names and values may be BINARY or STRING.  A document needs an id or a field; names and values must be valid
     UTF-8, and no name may be the reserved one.  Of several faults the first is named, in order of the entries.  A null
     name or value counts as an empty one; empty ones are valid.
+
+    Documents without fault, the usual case, are told by whole arrays in generated code; entries are looked at one by
+    one only where something is wrong.
     """
     id, fields = _col(id), _col(fields)
     no_id = id.isNull() | (F.length(id) == 0)
@@ -52,9 +55,13 @@ def validation_error(id: Column | str, fields: Column | str) -> Column:
         .when(~F.is_valid_utf8(text(e["value"])), BAD_VALUE)
     )
     faults = F.filter(F.transform(fields, fault), lambda x: x.isNotNull())
+    texts = lambda part: fields[part].cast("array<string>")
+    joined = lambda part: F.coalesce(F.array_join(texts(part), "|"), F.lit(""))
+    sound = F.is_valid_utf8(joined("name")) & F.is_valid_utf8(joined("value")) & ~F.coalesce(F.array_contains(texts("name"), ID_FIELD), F.lit(False))
     return (
         F.when((F.coalesce(F.size(fields), F.lit(0)) <= 0) & no_id, EMPTY)
         .when(~F.is_valid_utf8(text(id)), BAD_ID)
+        .when(sound, F.lit(None).cast("string"))
         .otherwise(F.try_element_at(faults, F.lit(1)))
     )
 
