@@ -60,9 +60,11 @@ def prepare(batch: DataFrame, existing_ids: DataFrame | None = None, make_ids: b
         checked = checked.withColumn("error", F.coalesce("error", F.when(F.col("id").isNull(), "document has no id")))
     valid = checked.where("error IS NULL").drop("error")
     named, nameless = valid.where("id IS NOT NULL"), valid.where("id IS NULL")
-    if existing_ids is not None:
-        named = named.join(existing_ids.select("id").distinct(), "id", "left_anti").select("idx", "id", "fields")
     first = named.groupBy("id").agg(F.min_by(F.struct("idx", "fields"), "idx").alias("d")).select("d.idx", "id", "d.fields")
+    if existing_ids is not None:
+        known = existing_ids.select("id").distinct()
+        first = first.join(known, "id", "left_anti").select("idx", "id", "fields")  # one row for each id by now
+        named = named.join(known, "id", "left_anti")
     again = named.select("idx", "id").join(first.select("idx"), "idx", "left_anti")
     accepted = durable(first.unionByName(nameless.withColumn("id", new_id()).select("idx", "id", "fields")))
     rejects = checked.where("error IS NOT NULL").select("idx", "id", "error").unionByName(again.withColumn("error", F.lit(DUPLICATE_ID)))

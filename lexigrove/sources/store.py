@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lexigrove.model import DOCS, POSTINGS, LexigroveError
 from lexigrove.operators.ingest import to_postings
-from lexigrove.sources.snapshot import Snapshot
+from lexigrove.sources.snapshot import Snapshot, merged
 
 MAJOR, MINOR = 1, 0
 FORMAT = "parquet"
@@ -84,3 +84,13 @@ def load(spark: SparkSession, root: str, segment_ids: list[int] | None = None) -
     docs = spark.read.schema(DOCS).parquet(*[f"{_path(root, s)}/docs" for s in chosen])
     postings = spark.read.schema(POSTINGS).parquet(*[f"{_path(root, s)}/postings" for s in chosen])
     return Snapshot(docs, postings)
+
+
+def merge(spark: SparkSession, root: str, segment_ids: list[int], target: int) -> None:
+    """Write the documents of several segments as one new segment, in the order given; of one id the first stays.
+
+    The sources stay as they are; drop them once readers have moved on.
+    """
+    if target in segment_ids:
+        raise StoreError("a segment cannot be merged into itself")
+    save(merged([load(spark, root, [s]).docs for s in segment_ids], target), root, target)

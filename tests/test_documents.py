@@ -106,9 +106,13 @@ def test_store(spark, tmp_path):
     store.save(docs, root, 3)
     store.save(docs.where("doc_ord > 0"), root, 4)
     s = store.load(spark, root)
-    assert store.segments(spark, root) == [3, 4] and store.metadata(spark, root, 3)["num_docs"] == 3
+    assert store.metadata(spark, root, 3)["num_docs"] == 3
     assert sorted((r.segment_id, r.doc_ord) for r in s.search(Term("f", "x")).collect()) == [(3, 0), (3, 2), (4, 2)]
     assert store.load(spark, root, [4]).size() == 2
+    store.merge(spark, root, [4, 3], 5)
+    assert [(r.doc_ord, r.id) for r in store.load(spark, root, [5]).docs.orderBy("doc_ord").collect()] == [(0, "b"), (1, "c"), (2, "a")]
+    with pytest.raises(store.StoreError):
+        store.merge(spark, root, [3, 4], 3)
     with pytest.raises(store.StoreError):
         store.load(spark, root, [9])
     for column, value in (("major", 2), ("format", "other")):
