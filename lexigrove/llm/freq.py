@@ -17,7 +17,6 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,7 +74,7 @@ def cardinality(container: bytes) -> int:
     return int(np.bitwise_count(np.frombuffer(container[1:], np.uint8)).sum())
 
 
-_LAYOUT = "field STRING, term STRING, chunk BIGINT, bitmap BINARY, occurrences BIGINT"
+_LAYOUT = "field STRING, term STRING, chunk BIGINT, bitmap BINARY, n_records BIGINT, occurrences BIGINT"
 _FLUSH = 500_000
 
 
@@ -101,9 +100,10 @@ def _containers(rid: np.ndarray, field: pa.Array, term: pa.Array) -> pa.RecordBa
             t.dictionary.take(pa.array(code[starts] % len(t.dictionary))).cast(pa.string()),
             pa.array(chunk[starts]),
             pa.array(packed, pa.binary()),
+            pa.array(np.diff(bounds)),
             pa.array(occurrences),
         ],
-        names=["field", "term", "chunk", "bitmap", "occurrences"],
+        names=["field", "term", "chunk", "bitmap", "n_records", "occurrences"],
     )
 
 
@@ -126,17 +126,14 @@ def _vertical(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        parts = batch["parts"]
-        sizes = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
-        flat = parts.flatten().to_pylist()
-        ends = np.cumsum(sizes)
-        bitmaps = [flat[e - 1] if s == 1 else union(flat[e - s : e]) for s, e in zip(sizes.tolist(), ends.tolist())]
-        yield pa.RecordBatch.from_arrays(
-            [batch["field"], batch["term"], batch["chunk"], pa.array(bitmaps, pa.binary()), pa.array([cardinality(b) for b in bitmaps], pa.int64()), batch["occurrences"]],
-            names=["field", "term", "chunk", "bitmap", "n_records", "occurrences"],
-        )
+def _unite(parts: pa.Array) -> pa.Array:
+    """The union of each list of containers, with its cardinality; null for null."""
+    parts = parts.combine_chunks() if isinstance(parts, pa.ChunkedArray) else parts
+    united = [None] * len(parts)
+    for i in np.nonzero(parts.is_valid().to_numpy(zero_copy_only=False))[0].tolist():
+        container = union(parts[i].as_py())
+        united[i] = {"bitmap": container, "n_records": cardinality(container)}
+    return pa.array(united, pa.struct([("bitmap", pa.binary()), ("n_records", pa.int64())]))
 
 
 def vertical_index(entries: DataFrame, rid: str, field: str, term: str) -> DataFrame:
@@ -147,8 +144,19 @@ def vertical_index(entries: DataFrame, rid: str, field: str, term: str) -> DataF
     """
     narrow = entries.select(F.col(rid).cast("long").alias("rid"), F.col(field).cast("string").alias("field"), F.col(term).cast("string").alias("term"))
     partial = narrow.dropna().mapInArrow(_vertical, _LAYOUT)
-    keyed = partial.groupBy("field", "term", "chunk").agg(F.collect_list("bitmap").alias("parts"), F.sum("occurrences").alias("occurrences"))
-    return keyed.mapInArrow(_unite, "field STRING, term STRING, chunk BIGINT, bitmap BINARY, n_records BIGINT, occurrences BIGINT")
+    sums = (F.sum("n_records").alias("n_records"), F.sum("occurrences").alias("occurrences"))
+    keyed = partial.groupBy("field", "term", "chunk").agg(F.collect_list("bitmap").alias("parts"), *sums)
+    # most keys are rare and have one container, which is final as it is and never leaves the JVM
+    unite = F.arrow_udf(_unite, "bitmap BINARY, n_records BIGINT")
+    united = keyed.withColumn("united", unite(F.when(F.size("parts") > 1, F.col("parts"))))
+    return united.select(
+        "field",
+        "term",
+        "chunk",
+        F.coalesce("united.bitmap", F.col("parts")[0]).alias("bitmap"),
+        F.coalesce("united.n_records", "n_records").alias("n_records"),
+        "occurrences",
+    )
 
 
 def term_frequencies(
