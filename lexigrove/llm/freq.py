@@ -17,6 +17,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +60,8 @@ def union(containers: list[bytes]) -> bytes:
     """The container of all numbers that any of ``containers`` holds."""
     if len(containers) == 1:
         return containers[0]
+    if all(c[:1] == b"A" for c in containers) and sum(map(len, containers)) <= _BITMAP:
+        return pack(np.unique(np.frombuffer(b"".join(c[1:] for c in containers), "<u2")))
     bits = np.zeros(1 << CHUNK_BITS, np.uint8)
     for c in containers:
         bits[unpack(c)] = 1
@@ -129,11 +132,11 @@ def _vertical(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _unite(parts: pa.Array) -> pa.Array:
     """The union of each list of containers, with its cardinality; null for null."""
     parts = parts.combine_chunks() if isinstance(parts, pa.ChunkedArray) else parts
-    united = [None] * len(parts)
-    for i in np.nonzero(parts.is_valid().to_numpy(zero_copy_only=False))[0].tolist():
-        container = union(parts[i].as_py())
-        united[i] = {"bitmap": container, "n_records": cardinality(container)}
-    return pa.array(united, pa.struct([("bitmap", pa.binary()), ("n_records", pa.int64())]))
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(parts), 0).to_numpy()).tolist()
+    flat = parts.flatten().to_pylist()
+    bitmaps = [union(flat[a:b]) if b > a else None for a, b in zip([0, *ends], ends)]
+    counts = [None if b is None else cardinality(b) for b in bitmaps]
+    return pa.StructArray.from_arrays([pa.array(bitmaps, pa.binary()), pa.array(counts, pa.int64())], names=["bitmap", "n_records"])
 
 
 def vertical_index(entries: DataFrame, rid: str, field: str, term: str) -> DataFrame:
