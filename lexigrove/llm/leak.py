@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -148,39 +149,64 @@ class ItemIndex:
         low = np.where(slot & 1, (slot >> 1) * _BIN - _BIN // 2, (slot >> 1) * _BIN) - (1 << 20)
         return pair // len(self.item_ids), pair % len(self.item_ids), low
 
-    def align(self, item: int, text_ids: np.ndarray, low: int, gap: int) -> tuple[int, int, int]:
-        """(words, first, last): how many words of ``item`` the best stretch near diagonal ``low`` reproduces in order.
+    def stretches(self, item: int, text_ids: np.ndarray, a: int, b: int, least: float, gap: int) -> list[tuple[int, int, int]]:
+        """(words, first, last) of all stretches between words ``a`` and ``b`` that reproduce ``least`` words of ``item`` in order.
 
         A stretch is a chain of common word pairs; between two of them at most ``gap`` words of either side are passed
-        over, be they inserted, left out or changed.
+        over, be they inserted, left out or changed.  The longest stretches are taken first, then what lies between
+        them is looked through again, until nothing is left; they do not overlap.
         """
-        n_item = len(self.word_ids[item])
-        a, b = max(0, low - _BIN), min(len(text_ids), low + n_item + 3 * _BIN)
         where = self.bigrams[item]
         ids = text_ids[a:b].tolist()
-        points = [(k, i) for k, pair in enumerate(zip(ids, ids[1:])) for i in where.get(pair, ())]
-        best: list[tuple[int, int]] = []  # words and first place of the best chain that ends at each point
-        top = (0, 0, 0)
-        for q, (k, i) in enumerate(points):
-            words_q, first = 2, k
-            for p in range(q - 1, -1, -1):
-                kp, ip = points[p]
-                if k - kp > gap:
-                    break
-                di = i - ip
-                if kp < k and 0 < di <= gap:
-                    gain = 1 if di == 1 and k - kp == 1 else 2 if di > 1 and k - kp > 1 else 0
-                    if gain and best[p][0] + gain > words_q:
-                        words_q, first = best[p][0] + gain, best[p][1]
-            best.append((words_q, first))
-            if words_q > top[0]:
-                top = (words_q, a + first, a + k + 1)
-        return top
+        points = [(a + k, i) for k, pair in enumerate(zip(ids, ids[1:])) for i in where.get(pair, ())]
+        out, todo = [], [points]
+        while todo:
+            points = todo.pop()
+            taken: list[tuple[int, int, int]] = []  # (first, last, words), in order
+            for n, _, last, first in sorted((-n, k + 1 - first, k + 1, first) for (k, _), (n, first) in zip(points, _chains(points, gap)) if n >= least):
+                at = bisect_left(taken, (first,))
+                if (at == 0 or taken[at - 1][1] < first) and (at == len(taken) or last < taken[at][0]):
+                    taken.insert(at, (first, last, -n))
+            if taken:
+                out += [(n, first, last) for first, last, n in taken]
+                edges = [a - 1, *(x for first, last, _ in taken for x in (first, last)), b]
+                todo += [rest for low, high in zip(edges[::2], edges[1::2]) if (rest := [p for p in points[bisect_left(points, (low + 1,)) :] if p[0] + 1 < high])]
+        return sorted(out, key=lambda s: s[1])
+
+
+def _chains(points: list[tuple[int, int]], gap: int) -> list[tuple[int, int]]:
+    """For each common word pair (place in the text, place in the item), words and first place of the best chain that ends there."""
+    best: list[tuple[int, int]] = []
+    for q, (k, i) in enumerate(points):
+        top = (2, k)
+        for p in range(q - 1, -1, -1):
+            kp, ip = points[p]
+            if k - kp > gap:
+                break
+            di = i - ip
+            if kp < k and 0 < di <= gap:
+                gain = 1 if di == 1 and k - kp == 1 else 2 if di > 1 and k - kp > 1 else 0
+                if gain:
+                    top = max(top, (best[p][0] + gain, best[p][1]))
+        best.append(top)
+    return best
 
 
 _SCHEMA = "doc_id BIGINT, text_hash BIGINT, item_id BIGINT, n_matched INT, n_words INT, coverage DOUBLE, first_word INT, last_word INT"
 
 
+def _windows(lows: list[int], n_item: int, n_text: int) -> list[tuple[int, int]]:
+    """Where in a text stretches of an item may lie, given its candidates' bins; what overlaps is one window."""
+    out: list[tuple[int, int]] = []
+    for low in sorted(lows):
+        a, b = max(0, low - _BIN), min(n_text, low + n_item + 3 * _BIN)
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def _scan(index: ItemIndex, part: float, least: int, gap: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         doc_ids, texts, text_hashes = (c.to_pylist() for c in batch.columns)
@@ -190,16 +216,15 @@ def _scan(index: ItemIndex, part: float, least: int, gap: int, batches: Iterator
             ids = np.concatenate([x for p in parts for x in (p, stop)])
             doc = np.repeat(np.arange(len(parts)), [len(p) + 1 for p in parts])
             starts = np.r_[0, np.cumsum([len(p) + 1 for p in parts])]
-            found: dict[tuple[int, int], tuple[int, int, int]] = {}
+            lows: dict[tuple[int, int], list[int]] = defaultdict(list)
             for d, item, low in zip(*(x.tolist() for x in index.candidates(ids, doc, least))):
-                result = index.align(item, parts[d], low - int(starts[d]), gap)
-                if result > found.get((d, item), (0, 0, 0)):
-                    found[d, item] = result
-            rows = [
-                (doc_ids[at + d], text_hashes[at + d], index.item_ids[item], n, len(index.word_ids[item]), n / len(index.word_ids[item]), first, last)
-                for (d, item), (n, first, last) in found.items()
-                if n >= part * len(index.word_ids[item])
-            ]
+                lows[d, item].append(low - int(starts[d]))
+            rows = []
+            for (d, item), bins in lows.items():
+                n_item = len(index.word_ids[item])
+                for a, b in _windows(bins, n_item, len(parts[d])):
+                    for n, first, last in index.stretches(item, parts[d], a, b, part * n_item, gap):
+                        rows.append((doc_ids[at + d], text_hashes[at + d], index.item_ids[item], n, n_item, n / n_item, first, last))
             if rows:
                 columns = list(zip(*rows))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32())
@@ -226,7 +251,7 @@ def leaks(
     A leak is one stretch that reproduces at least ``part`` of the item's words, in order and but for their surface
     unchanged.  ``first_word`` and ``last_word`` count the folded words of the document; ``text_hash`` tells texts of one
     id apart.  Null and empty texts and items have no leaks, nor have items of fewer than %d words.  Equal documents or
-    items give a row each, null ids included; the best stretch of a pair is listed once.
+    items give a row each, null ids included; an item that a document holds several times has a row for each stretch.
     """
     spark = documents.sparkSession
     listed = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where(F.length("text") > 0)

@@ -89,7 +89,7 @@ def _leaks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _leaks(spark, folder).select("doc_id", "item_id")
+    return _leaks(spark, folder).select("doc_id", "item_id").distinct()
 
 
 def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:

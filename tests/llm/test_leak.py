@@ -75,6 +75,25 @@ def test_repeated_items_are_found(spark):
     assert {r.item_id for r in leaks(df, its).collect()} == set(range(10))
 
 
+def test_every_copy_is_found_and_removed(spark):
+    rng = np.random.default_rng(8)
+    long, short, fill = _text(rng, 60), _text(rng, 9), [f"other{i}" for i in range(400)]
+    texts = {
+        1: fill[:30] + long + fill[30:230] + long + fill[230:260], 2: long + long + fill[:5] + long, 3: fill[:7] + short + fill[7:9] + short + short + fill[9:20],
+        4: fill[:9] + long + fill[9:40] + long[:40] + fill[40:60] + long[5:55] + fill[60:70], 5: fill[:100] + long[:20] + fill[100:] + long,
+    }
+    its = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(short))], "item_id BIGINT, text STRING")
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id BIGINT, text STRING")
+    found = leaks(df, its)
+    spans = sorted((r.doc_id, r.item_id, r.first_word, r.last_word) for r in found.collect())
+    assert spans == [
+        (1, 1, 30, 89), (1, 1, 290, 349), (2, 1, 0, 59), (2, 1, 60, 119), (2, 1, 125, 184), (3, 2, 7, 15), (3, 2, 18, 26), (3, 2, 27, 35),
+        (4, 1, 9, 68), (4, 1, 100, 139), (4, 1, 160, 209), (5, 1, 420, 479),
+    ]
+    rest = {r.doc_id: r.text.split() for r in scrubbed(df, found).collect()}
+    assert rest == {1: fill[:260], 2: fill[:5], 3: fill[:20], 4: fill[:70], 5: fill[:100] + long[:20] + fill[100:]}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id BIGINT, text STRING, item_id BIGINT")
     full = spark.createDataFrame([(1, "a b c d e f", 1)], "doc_id BIGINT, text STRING, item_id BIGINT")
