@@ -290,13 +290,17 @@ def _without(text: str, spans: list[tuple[int, int]]) -> str:
 def scrubbed(documents: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text", *, whole: bool = False) -> DataFrame:
     """(doc_id, text): ``documents`` without the leaked spans, or without the documents that have any (``whole``).
 
-    ``found`` is the result of ``leaks`` on the same documents.  Documents without leaks, null texts among them, and
-    documents without an id stay as they are; with ``whole``, all documents of an id that has leaks go.
+    ``found`` is the result of ``leaks`` on the same documents.  Documents without leaks, null texts among them, stay as
+    they are.  With ``whole``, all documents of an id that has leaks go; of those without an id, the ones whose text has.
     """
     narrow = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     if whole:
-        return narrow.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
-    spans = found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first_word", "last_word")).alias("spans"))
+        by_text = F.when(F.col("doc_id").isNull(), F.col("text_hash")).alias("by_text")
+        gone = found.select(F.col("doc_id").alias("gone_id"), by_text.alias("gone_text")).distinct()
+        hashed = narrow.withColumn("text_hash", F.xxhash64("text")).select("*", by_text)
+        same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & F.col("by_text").eqNullSafe(F.col("gone_text"))
+        return hashed.join(gone, same, "left_anti").select("doc_id", "text")
+    spans = found.groupBy(F.col("doc_id").alias("span_id"), F.col("text_hash").alias("span_text")).agg(F.collect_set(F.struct("first_word", "last_word")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -306,5 +310,6 @@ def scrubbed(documents: DataFrame, found: DataFrame, doc_id: str = "doc_id", tex
             ]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    known = narrow.withColumn("text_hash", F.xxhash64("text")).join(spans, ["doc_id", "text_hash"], "left")
+    same = F.col("doc_id").eqNullSafe(F.col("span_id")) & (F.col("text_hash") == F.col("span_text"))
+    known = narrow.withColumn("text_hash", F.xxhash64("text")).join(spans, same, "left")
     return known.select("doc_id", "text", "spans").mapInArrow(run, "doc_id BIGINT, text STRING")

@@ -94,6 +94,19 @@ def test_every_copy_is_found_and_removed(spark):
     assert rest == {1: fill[:260], 2: fill[:5], 3: fill[:20], 4: fill[:70], 5: fill[:100] + long[:20] + fill[100:]}
 
 
+def test_documents_without_an_id_are_scrubbed(spark):
+    rng = np.random.default_rng(9)
+    item, fill = _text(rng, 60), [f"other{i}" for i in range(40)]
+    texts = [(None, fill[:20] + item + fill[20:]), (None, fill[:20] + item + fill[20:]), (None, item + fill), (None, fill), (1, fill + item), (1, fill)]
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in texts] + [(None, None)], "doc_id BIGINT, text STRING")
+    found = leaks(df, spark.createDataFrame([(1, " ".join(item))], "item_id BIGINT, text STRING"))
+    rest = [(r.doc_id, r.text) for r in scrubbed(df, found).collect()]
+    assert sorted((k or 0, t and len(t.split())) for k, t in rest if t) == [(0, 40)] * 4 + [(1, 40)] * 2 and (None, None) in rest
+    assert all(t is None or t.split() == fill for _, t in rest)
+    kept = [(r.doc_id, r.text) for r in scrubbed(df, found, whole=True).collect()]
+    assert sorted(kept, key=str) == sorted([(None, " ".join(fill)), (None, None)], key=str)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id BIGINT, text STRING, item_id BIGINT")
     full = spark.createDataFrame([(1, "a b c d e f", 1)], "doc_id BIGINT, text STRING, item_id BIGINT")
