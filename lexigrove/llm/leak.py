@@ -17,6 +17,7 @@ import unicodedata
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ from lexigrove.llm.glyphs import _ALSO, _INVISIBLE, _SHAPES
 NGRAM = 4
 _WORD = re.compile(r"[^\W_]+")
 _BIN = 64
+#: Words of the least piece that is joined to others, and words of a hole in the text for each word of the pieces around it.
+_PIECE, _HOLE = 8, 4
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -149,49 +152,100 @@ class ItemIndex:
         low = np.where(slot & 1, (slot >> 1) * _BIN - _BIN // 2, (slot >> 1) * _BIN) - (1 << 20)
         return pair // len(self.item_ids), pair % len(self.item_ids), low
 
-    def stretches(self, item: int, text_ids: np.ndarray, a: int, b: int, least: float, gap: int) -> list[tuple[int, int, int]]:
-        """(words, first, last) of all stretches between words ``a`` and ``b`` that reproduce ``least`` words of ``item`` in order.
+    def stretches(self, item: int, text_ids: np.ndarray, windows: list[tuple[int, int]], least: float, gap: int) -> list[tuple[int, int, int]]:
+        """(words, first, last) of all stretches in ``windows`` of a text that reproduce ``least`` words of ``item`` in order.
 
-        A stretch is a chain of common word pairs; between two of them at most ``gap`` words of either side are passed
-        over, be they inserted, left out or changed.  The longest stretches are taken first, then what lies between
-        them is looked through again, until nothing is left; they do not overlap.
+        A stretch is made of pieces, chains of common word pairs between two of which at most ``gap`` words of either
+        side are passed over, be they inserted, left out or changed.  Pieces in the item's order are joined over longer
+        holes, the longer the more words they have.  The longest pieces and stretches are taken first, then what they
+        leave is looked through again, until nothing is left; no word pair is in two of them, but one may enclose another.
         """
-        where = self.bigrams[item]
-        ids = text_ids[a:b].tolist()
-        points = [(a + k, i) for k, pair in enumerate(zip(ids, ids[1:])) for i in where.get(pair, ())]
-        out, todo = [], [points]
+        where, words_of, text = self.bigrams[item], self.word_ids[item].tolist(), text_ids.tolist()
+        out, todo, pieces = [], [], []
+        for a, b in windows:
+            todo.append([(k, i) for k in range(a, b - 1) for i in where.get((text[k], text[k + 1]), ())])
         while todo:
             points = todo.pop()
-            taken: list[tuple[int, int, int]] = []  # (first, last, words), in order
-            for n, _, last, first in sorted((-n, k + 1 - first, k + 1, first) for (k, _), (n, first) in zip(points, _chains(points, gap)) if n >= least):
-                at = bisect_left(taken, (first,))
-                if (at == 0 or taken[at - 1][1] < first) and (at == len(taken) or last < taken[at][0]):
-                    taken.insert(at, (first, last, -n))
+            taken: list[_Piece] = []  # in order
+            ends = [_Piece(first, k + 1, n, i_first, i + 1) for (k, i), (n, first, i_first) in zip(points, _chains(points, gap, text, words_of)) if n >= min(_PIECE, least)]
+            for piece in sorted(ends, key=lambda p: (-p.words, p.last - p.first, p.last)):
+                at = bisect_left(taken, (piece.first,))
+                if (at == 0 or taken[at - 1].last < piece.first) and (at == len(taken) or piece.last < taken[at].first):
+                    taken.insert(at, piece)
             if taken:
-                out += [(n, first, last) for first, last, n in taken]
-                edges = [a - 1, *(x for first, last, _ in taken for x in (first, last)), b]
+                pieces += taken
+                edges = [-1, *(x for p in taken for x in (p.first, p.last)), len(text)]
                 todo += [rest for low, high in zip(edges[::2], edges[1::2]) if (rest := [p for p in points[bisect_left(points, (low + 1,)) :] if p[0] + 1 < high])]
-        return sorted(out, key=lambda s: s[1])
+        pieces.sort()
+        while pieces:
+            chain, n = _joined(pieces, gap, len(words_of))
+            if n < least:
+                break
+            out.append((n, pieces[chain[0]].first, pieces[chain[-1]].last))
+            pieces = [p for k, p in enumerate(pieces) if k not in chain]
+        return sorted(out, key=lambda s: s[1:])
+
+
+class _Piece(NamedTuple):
+    """Where a piece of an item begins and ends in the text, its words, and where it begins and ends in the item."""
+
+    first: int
+    last: int
+    words: int
+    i_first: int
+    i_last: int
 
 
-def _chains(points: list[tuple[int, int]], gap: int) -> list[tuple[int, int]]:
-    """For each common word pair (place in the text, place in the item), words and first place of the best chain that ends there."""
-    best: list[tuple[int, int]] = []
+def _chains(points: list[tuple[int, int]], gap: int, text: list[int], item: list[int]) -> list[tuple[int, int, int]]:
+    """For each common word pair (place in the text, place in the item), words and first places of the best chain that ends there.
+
+    Words that stand alone between changed words count where nothing was put in or left out.
+    """
+    known = set(points)
+    best: list[tuple[int, int, int]] = []
     for q, (k, i) in enumerate(points):
-        top = (2, k)
+        top = (2, k, i)
         for p in range(q - 1, -1, -1):
             kp, ip = points[p]
-            if k - kp > gap:
+            dk, di = k - kp, i - ip
+            if dk > gap:
                 break
-            di = i - ip
-            if kp < k and 0 < di <= gap:
-                gain = 1 if di == 1 and k - kp == 1 else 2 if di > 1 and k - kp > 1 else 0
+            if dk and 0 < di <= gap:
+                gain = 1 if di == dk == 1 else 2 if di > 1 and dk > 1 else 0
+                if dk == di > 4 and (k - 1, i - 1) not in known and (kp + 1, ip + 1) not in known:
+                    gain += sum(x == y for x, y in zip(text[kp + 2 : k], item[ip + 2 : i]))
                 if gain:
-                    top = max(top, (best[p][0] + gain, best[p][1]))
+                    top = max(top, (best[p][0] + gain, *best[p][1:]))
         best.append(top)
     return best
 
 
+def _joined(pieces: list[_Piece], gap: int, n_item: int) -> tuple[list[int], int]:
+    """The row of pieces in the item's order that has most words, and their number.
+
+    A hole in the text may have ``_HOLE`` times the words of the pieces so far and the next one, a hole in the item once
+    as many.  Pieces may share a few words of the item, which count once.
+    """
+    best: list[tuple[int, int]] = []  # words and the piece before
+    for q, (first, _, n, i_first, i_last) in enumerate(pieces):
+        top = (n, -1)
+        for p in range(q - 1, -1, -1):
+            before = pieces[p]
+            hole, i_hole = first - before.last - 1, i_first - before.i_last - 1
+            if hole > max(gap, _HOLE * n_item):
+                break
+            enough = best[p][0] + n
+            if i_last > before.i_last and -_PIECE < i_hole <= max(gap, enough) and hole <= max(gap, _HOLE * enough):
+                top = max(top, (enough + min(0, i_hole), p))
+        best.append(top)
+    at = max(range(len(best)), key=lambda q: best[q][0])
+    n, chain = best[at][0], []
+    while at >= 0:
+        chain.append(at)
+        at = best[at][1]
+    return chain[::-1], n
+
+
 _SCHEMA = "doc_id BIGINT, text_hash BIGINT, item_id BIGINT, n_matched INT, n_words INT, coverage DOUBLE, first_word INT, last_word INT"
 
 
@@ -222,9 +276,8 @@ def _scan(index: ItemIndex, part: float, least: int, gap: int, batches: Iterator
             rows = []
             for (d, item), bins in lows.items():
                 n_item = len(index.word_ids[item])
-                for a, b in _windows(bins, n_item, len(parts[d])):
-                    for n, first, last in index.stretches(item, parts[d], a, b, part * n_item, gap):
-                        rows.append((doc_ids[at + d], text_hashes[at + d], index.item_ids[item], n, n_item, n / n_item, first, last))
+                for n, first, last in index.stretches(item, parts[d], _windows(bins, n_item, len(parts[d])), part * n_item, gap):
+                    rows.append((doc_ids[at + d], text_hashes[at + d], index.item_ids[item], n, n_item, n / n_item, first, last))
             if rows:
                 columns = list(zip(*rows))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32())

@@ -107,6 +107,19 @@ def test_documents_without_an_id_are_scrubbed(spark):
     assert sorted(kept, key=str) == sorted([(None, " ".join(fill)), (None, None)], key=str)
 
 
+def test_pieces_are_joined_over_long_insertions(spark):
+    rng = np.random.default_rng(10)
+    item, other, fill = _text(rng, 60), _text(rng, 40), [f"other{i}" for i in range(400)]
+    lone = [f"changed{k}" if k % 8 in (5, 7) else w for k, w in enumerate(other[:28])]
+    texts = {
+        1: (fill[:9] + item[5:25] + fill[:40] + item[25:45] + fill[:9], [(9, 88)]), 2: (item[:14] + fill[:20] + item[16:30] + fill[:90] + item[40:50], [(0, 147)]),
+        3: (fill[:5] + lone + fill[:5], [(5, 32)]), 4: (item[:14] + fill[:300] + item[14:30], []), 5: (item[40:] + fill[:9] + item[:20], []), 6: (item[:10] + fill[:20] + item[20:30], []),
+    }
+    its = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(other))], "item_id BIGINT, text STRING")
+    found = leaks(spark.createDataFrame([(k, " ".join(t)) for k, (t, _) in texts.items()], "doc_id BIGINT, text STRING"), its).collect()
+    assert {k: [(r.first_word, r.last_word) for r in found if r.doc_id == k] for k in texts} == {k: spans for k, (_, spans) in texts.items()}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id BIGINT, text STRING, item_id BIGINT")
     full = spark.createDataFrame([(1, "a b c d e f", 1)], "doc_id BIGINT, text STRING, item_id BIGINT")
