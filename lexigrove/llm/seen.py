@@ -1,7 +1,8 @@
 """Has this key been seen before?  Partitioned, blocked Bloom filters over a stream of records.
 
 1. *Combine.*  Each map task looks at its own batches: of the rows of one key in one batch only the earliest goes on,
-   the others are certainly repeats.  A key that holds a third of all rows sends one row per batch.
+   the others are certainly repeats.  A key that holds a third of all rows sends one row per batch.  The outcome is
+   written once, as batches need not be the same when the table is read again.
 2. *Route.*  Keys are hash-partitioned, so that all arrivals of a key meet the same filter, and each partition is read
    in order of arrival.
 3. *Query, then insert.*  A partition owns one split-block Bloom filter: a key selects a block of eight 32-bit words and
@@ -180,7 +181,8 @@ def seen_before(
     rows = df.select(F.col(order).cast("long").alias("ord"), F.col(key).cast("string").alias("key"))
     usable = (F.length("key") > 0) & F.col("ord").isNotNull()
     keyed = rows.where(usable).select(F.lit(1).alias("kind"), "ord", "key")
-    combined = keyed.mapInArrow(_combine, "kind INT, ord BIGINT, key STRING, again BOOLEAN")
+    # Which rows are repeats depends on the batches of the run, so both halves come from one.
+    combined = durable(keyed.mapInArrow(_combine, "kind INT, ord BIGINT, key STRING, again BOOLEAN"))
     routed = combined.where("NOT again").select("kind", "ord", "key")
     if absent is not None:
         probes = absent.select(F.lit(2).alias("kind"), F.lit(0).cast("long").alias("ord"), F.col(absent_key).cast("string").alias("key"))

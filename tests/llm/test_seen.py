@@ -60,6 +60,22 @@ def test_against_brute_force(spark):
         assert report.n_rows == len(rows) + 2 and report.n_absent == 3000 and report.absent_error_rate <= 1.5 * fpr and report.wrong_share <= fpr
 
 
+def test_other_batches_on_a_second_reading(spark):
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    rows = [(i, f"k{i % 50}", "x") for i in range(2000)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    try:
+        for first, second in ((10, 1000), (1000, 10)):
+            spark.conf.set(size, first)
+            result = seen_before(df, "seq", "id")
+            spark.conf.set(size, second)
+            got = [tuple(r) for r in verified(result, "seq").collect()]
+            assert len(got) == len(rows) and set(got) == _brute(rows)
+    finally:
+        spark.conf.set(size, before)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     result = seen_before(df, "seq", "id")
