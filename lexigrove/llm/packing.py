@@ -1,7 +1,8 @@
 """Filling fixed-capacity containers with items: linear grouping, few-size configurations, best fit for the rest.
 
-Items are dealt into shards by a hash of their id and each shard is packed by itself, so that a task holds the sizes of
-one shard (16 bytes an item) and nothing grows with the collection.  Within a shard of n items
+Items are dealt into shards by a hash of their row number, so that null and repeated ids are spread like others, and each
+shard is packed by itself: a task holds the sizes of one shard (16 bytes an item) and nothing grows with the collection.
+Row numbers are written once, as a task that is run again need not give the same.  Within a shard of n items
 
 1. items above a third of the capacity are *large*: sorted by size, cut into groups of equal cardinality, and rounded
    up to the largest size of their group;
@@ -25,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexigrove.durable import durable
+
 SHARD_ITEMS = 50_000
 
 
@@ -191,10 +194,12 @@ def pack(counts: DataFrame, capacity: int = 1024, shard_items: int = SHARD_ITEMS
     ``capacity`` tokens is cut into full containers and a rest (the last piece), no other is cut.  Documents without
     tokens (or a null number of them) have 0 pieces and no container, in one row.  Repeated and null ids are packed as
     separate documents.  An empty table
-    gives an empty result.
+    gives an empty result.  With more than one shard, a document's shard depends on the place of its row in ``counts``.
     """
     n_items = counts.count() if n_items is None else n_items
     shards = max(1, math.ceil(n_items / shard_items))
-    dealt = counts.select("doc_id", "n_tokens", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"))
+    dealt = counts.select("doc_id", "n_tokens", F.lit(0).alias("shard"))
+    if shards > 1:
+        dealt = durable(counts.select("doc_id", "n_tokens", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int").alias("shard")))
     schema = "doc_id BIGINT, n_tokens BIGINT, piece INT, n_pieces INT, shard INT, container BIGINT, piece_tokens BIGINT"
     return dealt.repartition(shards, "shard").mapInArrow(_packed(capacity), schema)

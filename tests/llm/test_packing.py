@@ -1,7 +1,7 @@
 """Packing: sizes, configurations, pieces, and how full containers get."""
 
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -65,6 +65,14 @@ def test_pieces(spark):
     assert sum(load.values()) / 1024 / len(load) > 0.97
 
 
+def test_null_and_repeated_ids_are_spread(spark):
+    rows = [(None, 30, "x")] * 1500 + [(7, 30, "x")] * 1500 + [(i, 30, "x") for i in range(1000)]
+    got = pack(spark.createDataFrame(rows, SCHEMA), 1024, shard_items=500).collect()
+    sizes = Counter(r.shard for r in got)
+    assert len(sizes) == 8 and max(sizes.values()) < 650
+    assert Counter((r.doc_id, r.n_tokens) for r in got) == Counter(r[:2] for r in rows)
+
+
 def test_token_counts(spark):
     rows = [(1, None, 3), (2, "", 3), (3, "Hello world", 3), (4, "<|endoftext|>", 3), (5, "word " * 5000, 3)]
     df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, n_tokens INT")
