@@ -7,6 +7,7 @@ minus place in the item) are a candidate; candidates are aligned word by word, a
 count as leaks if one stretch reproduces the wanted part of the item.
 
 The broadcast is bounded: items beyond ``block_chars`` are taken in blocks, each with its own scan.
+Equal items are sent once and the others dealt by their ids and texts, so that null and repeated ids fill no block.
 """
 
 from __future__ import annotations
@@ -88,8 +89,9 @@ class ItemIndex:
     too few others; it still counts when candidates are aligned.
     """
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], times: list[int] | None = None):
         self.item_ids = [i for i, _ in items]
+        self.times = times or [1] * len(items)  # how often each is listed
         listed = [words(t) for _, t in items]
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for ws in listed for w in ws}))}
         self.word_ids = [np.array([self.vocabulary[w] for w in ws], np.int64) for ws in listed]
@@ -277,7 +279,8 @@ def _scan(index: ItemIndex, part: float, least: int, gap: int, batches: Iterator
             for (d, item), bins in lows.items():
                 n_item = len(index.word_ids[item])
                 for n, first, last in index.stretches(item, parts[d], _windows(bins, n_item, len(parts[d])), part * n_item, gap):
-                    rows.append((doc_ids[at + d], text_hashes[at + d], index.item_ids[item], n, n_item, n / n_item, first, last))
+                    row = (doc_ids[at + d], text_hashes[at + d], index.item_ids[item], n, n_item, n / n_item, first, last)
+                    rows += [row] * index.times[item]
             if rows:
                 columns = list(zip(*rows))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32())
@@ -308,14 +311,16 @@ def leaks(
     """
     spark = documents.sparkSession
     listed = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where(F.length("text") > 0)
+    listed = listed.groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("times"))
     n_chars = listed.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     blocks = math.ceil(n_chars / block_chars)
     narrow = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.length("text") > 0)
     narrow = narrow.withColumn("text_hash", F.xxhash64("text"))
     result = spark.createDataFrame([], _SCHEMA)
     for block in range(blocks):
-        chosen = listed if blocks == 1 else listed.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-        index = ItemIndex([(r[0], r[1]) for r in sorted(chosen.collect(), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))])  # one block, of about block_chars characters
+        chosen = listed if blocks == 1 else listed.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        rows = sorted(chosen.collect(), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))  # one block, of about block_chars characters
+        index = ItemIndex([(r[0], r[1]) for r in rows], [r[2] for r in rows])
         sent = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

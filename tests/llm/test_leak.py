@@ -120,6 +120,25 @@ def test_pieces_are_joined_over_long_insertions(spark):
     assert {k: [(r.first_word, r.last_word) for r in found if r.doc_id == k] for k in texts} == {k: spans for k, (_, spans) in texts.items()}
 
 
+def test_blocks_are_bounded_whatever_the_ids(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    texts = [" ".join(_text(rng, 60)) for _ in range(40)]
+    listed = [(None, t) for t in texts[:20]] + [(7, t) for t in texts[20:]] + [(8, texts[0])] * 60
+    sizes = []
+
+    built = ItemIndex.__init__
+
+    def init(self, items, *more):
+        sizes.append(sum(len(t) for _, t in items))
+        built(self, items, *more)
+
+    monkeypatch.setattr(ItemIndex, "__init__", init)
+    df = spark.createDataFrame([(1, "so " + texts[0]), (2, texts[30])], "doc_id BIGINT, text STRING")
+    found = leaks(df, spark.createDataFrame(listed, "item_id BIGINT, text STRING"), block_chars=5_000)
+    assert sorted((r.doc_id, r.item_id or 0) for r in found.collect()) == [(1, 0)] + [(1, 8)] * 60 + [(2, 7)]
+    assert len(sizes) == 4 and max(sizes) < 8_000
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id BIGINT, text STRING, item_id BIGINT")
     full = spark.createDataFrame([(1, "a b c d e f", 1)], "doc_id BIGINT, text STRING, item_id BIGINT")
