@@ -32,6 +32,8 @@ _WORD = re.compile(r"[^\W_]+")
 _BIN = 64
 #: Words of the least piece that is joined to others, and words of a hole in the text for each word of the pieces around it.
 _PIECE, _HOLE = 8, 4
+#: n-grams that start candidates in any half of an item, at least.
+_TELLING = 8
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -85,8 +87,8 @@ def _grams(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class ItemIndex:
     """The n-grams of a block of test items.
 
-    An n-gram that more than three different items share is a stock phrase and starts no candidate, unless its item has
-    too few others; it still counts when candidates are aligned.
+    An n-gram that more than three different items share is a stock phrase and starts no candidate, unless its item, or
+    a half of the item that it lies in, has too few others; it still counts when candidates are aligned.
     """
 
     def __init__(self, items: list[tuple[int, str]], times: list[int] | None = None):
@@ -104,6 +106,10 @@ class ItemIndex:
             telling = np.array([holders[x] <= 3 for x in g.tolist()], bool)
             if telling.sum() < 0.6 * len(g):
                 telling[:] = True
+            half = max(1, -(-len(at) // 2) - NGRAM + 1)  # n-grams of half of the item
+            own = np.r_[0, np.cumsum(telling)]
+            for low in np.nonzero(own[half:] - own[:-half] < _TELLING)[0].tolist():
+                telling[low : low + half] = True
             hashes.append(g[telling])
             owners.append(np.full(int(telling.sum()), k))
             places.append(at[telling])

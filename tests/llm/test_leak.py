@@ -139,6 +139,18 @@ def test_blocks_are_bounded_whatever_the_ids(spark, monkeypatch):
     assert len(sizes) == 4 and max(sizes) < 8_000
 
 
+@pytest.mark.parametrize("block_chars", [20_000_000, 1_000])
+def test_shared_halves_start_candidates(spark, block_chars):
+    rng = np.random.default_rng(12)
+    shared = _text(rng, 24)
+    items = {k: shared + _text(rng, 36) for k in range(6)}
+    leaked = [w if k != 26 else "changed" for k, w in enumerate(items[1][:31])]
+    texts = {1: ["so", *leaked], 2: ["so", *shared], 3: items[2], 4: shared + ["and"] + shared, 5: ["so", *leaked]}
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id BIGINT, text STRING")
+    its = spark.createDataFrame([(k, " ".join(ws)) for k, ws in items.items()], "item_id BIGINT, text STRING")
+    assert sorted((r.doc_id, r.item_id, r.n_matched) for r in leaks(df, its, block_chars=block_chars).collect()) == [(1, 1, 30), (3, 2, 60), (5, 1, 30)]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id BIGINT, text STRING, item_id BIGINT")
     full = spark.createDataFrame([(1, "a b c d e f", 1)], "doc_id BIGINT, text STRING, item_id BIGINT")
