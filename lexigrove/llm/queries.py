@@ -97,7 +97,7 @@ def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_scrubbed(spark: SparkSession, folder: str) -> DataFrame:
-    return leak.scrubbed(table(spark, folder, "documents"), _leaks(spark, folder))
+    return leak.scrub(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from lexigrove.llm.leak import ItemIndex, leaks, scrubbed, word_spans, words
+from lexigrove.llm.leak import ItemIndex, hashed_words, leaks, scrub, scrubbed, word_spans, words
 
 VOCABULARY = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(20)]
 
@@ -65,6 +65,8 @@ def test_removal(spark):
     assert set(kept) == {*docs, 200} and kept[200] is None and kept[6] == " ".join(docs[6][0])
     assert kept[1].split() == docs[1][0][:50] + docs[1][0][110:] and kept[8].split() == docs[8][0][67:76]
     assert leaks(spark.createDataFrame(list(kept.items()), "doc_id BIGINT, text STRING"), its).count() == 0
+    by = lambda rows: sorted((r.doc_id or 0, r.text or "") for r in rows)
+    assert by(scrub(df, its).collect()) == by(scrub(df, its, block_chars=2_000).collect()) == by(rest)
     assert {r.doc_id for r in scrubbed(df, found, whole=True).collect()} == {5, 6, 9, 10, 200, None}
 
 
@@ -155,4 +157,58 @@ def test_empty(spark):
     df = spark.createDataFrame([], "doc_id BIGINT, text STRING, item_id BIGINT")
     full = spark.createDataFrame([(1, "a b c d e f", 1)], "doc_id BIGINT, text STRING, item_id BIGINT")
     assert leaks(df, full).count() == leaks(full, df).count() == 0
-    assert ItemIndex([]).candidates(np.zeros(9, np.int64), np.zeros(9, np.int64), 1)[0].size == 0
+    assert list(ItemIndex([]).candidates(*hashed_words(["a b c d e"]))) == []
+    assert scrub(df, full).count() == 0 and scrub(full, df).collect() == [(1, "a b c d e f")]
+
+
+def _edited(rng, item, rate, long):
+    """``item`` with a part of its words changed, left out or followed by others, and up to two longer insertions."""
+    out, kept = [], 0
+    for w in item:
+        kind = rng.random() < rate and rng.integers(3)
+        out += ["changed"] if kind == 0 and kind is not False else [] if kind == 1 else [w, "inserted"] if kind == 2 else [w]
+        kept += kind not in (0, 1) or kind is False
+    for at in sorted(rng.integers(0, len(out), 2 if long else 0).tolist(), reverse=True):
+        out[at:at] = [f"other{k}" for k in range(long)]
+    return out, kept / len(item)
+
+
+def test_recall_over_edits_and_insertions(spark):
+    """All rates of edits and lengths of insertions: leaks of half an item or more are found, nothing else is."""
+    rng = np.random.default_rng(21)
+    vocabulary, share = np.array(VOCABULARY), 1 / np.arange(1, len(VOCABULARY) + 1)
+    text = lambda n: [str(w) for w in rng.choice(vocabulary, n, p=share / share.sum())]
+    items = {k: text(int(rng.integers(50, 121))) for k in range(40)}
+    docs, wanted = {}, {}
+    for rate in (0, 0.1, 0.2, 0.3, 0.4):
+        for long in (0, 17, 40, 60):
+            for k, item in items.items():
+                leaked, kept = _edited(rng, item, rate, long)
+                docs[len(docs)] = text(int(rng.integers(0, 300))) + leaked + text(int(rng.integers(0, 300)))
+                wanted[len(docs) - 1] = (k, kept, rate)
+    for _ in range(300):
+        docs[len(docs)] = text(500)
+    its = spark.createDataFrame([(k, " ".join(t)) for k, t in items.items()], "item_id BIGINT, text STRING")
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in docs.items()], "doc_id BIGINT, text STRING").repartition(8)
+    found = {(r.doc_id, r.item_id) for r in leaks(df, its).collect()}
+    cases = [(d, k, rate) for d, (k, kept, rate) in wanted.items() if kept >= 0.5]
+    for rate in (0, 0.1, 0.2, 0.3, 0.4):
+        of_rate = [(d, k) for d, k, r in cases if r == rate]
+        assert len(of_rate) > 100 and sum(c in found for c in of_rate) >= 0.95 * len(of_rate), rate
+    assert {(d, k) for d, k in found if wanted.get(d, (None,))[0] != k} == set()
+    assert found == {(r.doc_id, r.item_id) for r in leaks(df, its, block_chars=4_000).collect()}
+
+
+def test_regular_changes_short_items_and_long_texts(spark):
+    rng = np.random.default_rng(22)
+    item, fill = _text(rng, 80), [f"other{i}" for i in range(90)]
+    short = {4: _text(rng, 4), 5: _text(rng, 6), 6: _text(rng, 7)}
+    every = lambda k: ["changed" if i % k == k - 1 else w for i, w in enumerate(item)]
+    texts = {
+        1: item, 2: item[:30] + fill[:17] + item[30:50] + fill[:17] + item[50:], 3: every(4), 4: every(3), 5: every(2), 6: fill + short[5] + fill, 7: fill + short[4] + fill,
+        8: fill + short[4][:3] + fill, 9: short[5][:5], 10: short[6][:3], 11: item[:40] + fill[:15] + item[70:], 12: ["word"] * 50_000 + item + _text(rng, 100) * 500,
+    }
+    its = spark.createDataFrame([(1, " ".join(item))] + [(k, " ".join(t)) for k, t in short.items()] + [(9, "word " * 60)], "item_id BIGINT, text STRING")
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id BIGINT, text STRING")
+    found = {(r.doc_id, r.item_id) for r in leaks(df, its).collect()}
+    assert found == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 5), (7, 4), (9, 5), (11, 1), (12, 1), (12, 9)}
