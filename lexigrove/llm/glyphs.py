@@ -1,7 +1,8 @@
 """Visually identical text with different characters: one consistent form for whole texts.
 
 Two texts get the same form if, and only if, they differ in nothing but character width, the make-up of accents,
-invisible characters, kinds of space, joined letter forms, or letters that look alike across Latin, Cyrillic and Greek.
+invisible characters, kinds of space, joined letter forms, or letters that look alike across Latin, Cyrillic, Greek,
+Armenian, Cherokee and Lisu.
 Case, digits, punctuation, superscripts and the presence of accents are kept.
 
 Look-alikes are resolved by token, a run of letters.  Every letter belongs to a set of scripts: those in which its shape
@@ -24,12 +25,13 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrove.durable import durable
 
-SCRIPTS = ("LATIN", "CYRILLIC", "GREEK")
+SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN", "CHEROKEE", "LISU")
 
 # Letters of the same shape in Latin, Cyrillic and Greek (- where a script has none), without accents.
 _SAME_SHAPE = """
@@ -54,26 +56,38 @@ W Ԝ -
 X Х Χ
 Y У Υ
 Z - Ζ
-a а -
+Æ Ӕ -
+Ə Ә -
+Ɵ Ө -
+a а α
 c с ϲ
 d ԁ -
 e е -
 h һ -
-i і -
+i і ι
 j ј ϳ
 l ӏ -
 o о ο
-p р -
+p р ρ
 q ԛ -
 s ѕ -
 v ѵ ν
 w ԝ -
 x х -
 y у -
+æ ӕ -
+ə ә -
+ɵ ө -
 - Г Γ
 - П Π
 - Ф Φ
 """
+# Letters of further scripts that have the shape of a Latin one.
+_TWINS = {
+    "ARMENIAN": "gց hհ jյ nո oօ qզ uս LԼ OՕ SՏ UՍ",
+    "CHEROKEE": "AᎪ BᏴ CᏟ DᎠ EᎬ GᏀ HᎻ JᎫ KᏦ LᏞ MᎷ PᏢ RᏒ SᏚ TᎢ VᏙ WᎳ YᎩ ZᏃ",
+    "LISU": "Aꓮ Bꓐ Cꓚ Dꓓ Eꓰ Fꓝ Gꓖ Hꓧ Iꓲ Jꓙ Kꓗ Lꓡ Mꓟ Nꓠ Oꓳ Pꓑ Rꓣ Sꓢ Tꓔ Uꓴ Vꓦ Wꓪ Xꓫ Yꓬ Zꓜ",
+}
 # Other characters that are printed like a letter of the table.
 _ALSO = {"ɡ": "g", "ɑ": "a", "Ү": "Y", "Ӏ": "I"}
 
@@ -82,6 +96,11 @@ for _line in _SAME_SHAPE.split("\n"):
     _spelled = {s: c for s, c in zip(SCRIPTS, _line.split()) if c != "-"}
     for _c in _spelled.values():
         _SHAPES[_c] = _spelled
+for _name, _listed in _TWINS.items():
+    for _latin, _c in _listed.split():
+        _spelled = _SHAPES.setdefault(_latin, {"LATIN": _latin})
+        _spelled[_name] = _c
+        _SHAPES[_c] = _spelled
 for _c, _like in _ALSO.items():
     _SHAPES[_c] = _SHAPES.get(_like, {"LATIN": _like})
 
@@ -95,12 +114,15 @@ _INVISIBLE = re.compile(
 # Spaces other than U+0020.
 _SPACES = re.compile("[\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]")
 _NOT_PLAIN = re.compile("[^\x00-\x7f]")
-_OTHER_SCRIPT = re.compile("[\u0370-\u052f\u1f00-\u1fff]")
+_OTHER_SCRIPT = re.compile("[\u0370-\u058f\u13a0-\u13ff\u1f00-\u1fff\ua4d0-\ua4ff]")
+_IS = {s: regex.compile(rf"\p{{Script={s}}}") for s in SCRIPTS}
 _TOKEN = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f])*")
 
 
 def _fold_kind(c: str) -> bool:
     """Whether a character is another width or a joined form of what it decomposes to."""
+    if c == "\u00b5":  # the micro sign is a mu
+        return True
     tag = unicodedata.decomposition(c).partition(" ")[0]
     if tag in ("<wide>", "<narrow>", "<isolated>", "<initial>", "<medial>", "<final>"):
         return True
@@ -114,7 +136,7 @@ def _unfolded(c: str) -> str:
 
 @lru_cache(maxsize=1 << 16)
 def _script(c: str) -> str:
-    return unicodedata.name(c, "UNKNOWN").partition(" ")[0]
+    return next((s for s, is_of in _IS.items() if is_of.match(c)), "OTHER")
 
 
 @lru_cache(maxsize=1 << 16)
@@ -193,20 +215,45 @@ def lookalike_classes(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     return narrow.mapInArrow(run, "doc_id BIGINT, class_id BINARY, text_id BINARY")
 
 
+#: Rows up to which a table of class and text ids is broadcast (some 100 bytes each).
+_SENT = 200_000
+
+
+def _sent(df: DataFrame, n_rows: int) -> DataFrame:
+    return F.broadcast(df) if n_rows <= _SENT else df
+
+
 def lookalike_pairs(classes: DataFrame) -> DataFrame:
     """(doc_id_a, doc_id_b): pairs of documents of one class whose texts are not equal, the smaller id first.
 
-    Documents without an id are in no pair, nor are two of one id.  Classes are narrowed to those of several texts by their distinct (class, text) alone; texts are paired, then
-    replaced by their documents, so that copies of one text never meet each other.
+    Documents without an id are in no pair, nor are two of one id.  Classes are narrowed to those of several texts by
+    their least and greatest text; the texts of those are paired, then replaced by their documents, so that copies of
+    one text never meet each other.  The narrowed classes and the pairs of texts are counted, and broadcast only up to
+    200,000 rows.
     """
     classes = durable(classes)  # three narrow columns; whole texts are read and folded once
-    texts = classes.select("class_id", "text_id").distinct()
-    mixed = texts.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("class_id")
-    members = classes.join(mixed, "class_id", "left_semi")
-    several = texts.join(mixed, "class_id", "left_semi")
-    pairs = several.alias("x").join(several.alias("y"), F.expr("x.class_id = y.class_id AND x.text_id < y.text_id"))
-    pairs = pairs.select(F.col("x.class_id").alias("class_id"), F.col("x.text_id").alias("text_x"), F.col("y.text_id").alias("text_y"))
+    mixed = classes.groupBy("class_id").agg(F.min("text_id").alias("low"), F.max("text_id").alias("high")).where("low < high").select("class_id")
+    mixed = durable(mixed)
+    members = durable(classes.join(_sent(mixed, mixed.count()), "class_id", "left_semi"))
+    texts = durable(members.select("class_id", "text_id").distinct())
+    per_class = texts.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"))
+    n_texts, n_pairs = per_class.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.expr("n * (n - 1) DIV 2")), F.lit(0))).first()
+    other = _sent(texts.withColumnRenamed("text_id", "other"), n_texts)
+    pairs = texts.join(other, "class_id").where("text_id < other").select("class_id", F.col("text_id").alias("text_x"), F.col("other").alias("text_y"))
     x = members.select("class_id", F.col("text_id").alias("text_x"), F.col("doc_id").alias("doc_x"))
     y = members.select("class_id", F.col("text_id").alias("text_y"), F.col("doc_id").alias("doc_y"))
-    joined = pairs.join(x, ["class_id", "text_x"]).join(y, ["class_id", "text_y"]).where("doc_x <> doc_y")
+    joined = x.join(_sent(pairs, n_pairs), ["class_id", "text_x"]).join(y, ["class_id", "text_y"]).where("doc_x <> doc_y")
     return joined.select(F.least("doc_x", "doc_y").alias("doc_id_a"), F.greatest("doc_x", "doc_y").alias("doc_id_b")).distinct()
+
+
+def lookalike_links(classes: DataFrame) -> DataFrame:
+    """(doc_id, class_doc, n_links): for every document the least document of its class and its look-alikes' number.
+
+    One row per document of ``classes``, null and repeated ids included.  A link leads to a row of another text of the
+    class; equal texts are no links.  What grows with a class is two aggregates, so a class may hold any part of all rows.
+    """
+    classes = durable(classes)
+    per_text = classes.groupBy("class_id", "text_id").agg(F.count(F.lit(1)).alias("n_text"), F.min("doc_id").alias("least"))
+    per_class = per_text.groupBy("class_id").agg(F.sum("n_text").alias("n_class"), F.min("least").alias("class_doc"))
+    figures = per_text.join(per_class, "class_id").select("class_id", "text_id", "class_doc", (F.col("n_class") - F.col("n_text")).alias("n_links"))
+    return classes.join(figures, ["class_id", "text_id"]).select("doc_id", "class_doc", "n_links")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,8 +102,16 @@ def p7_scrubbed(spark: SparkSession, folder: str) -> DataFrame:
     return leak.scrub(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
+def _classes(spark: SparkSession, folder: str) -> DataFrame:
+    return glyphs.lookalike_classes(table(spark, folder, "documents"), "doc_id", "text")
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return glyphs.lookalike_pairs(glyphs.lookalike_classes(table(spark, folder, "documents"), "doc_id", "text"))
+    return glyphs.lookalike_pairs(_classes(spark, folder))
+
+
+def p8_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return glyphs.lookalike_links(_classes(spark, folder))
 
 
 def p8_consistent(spark: SparkSession, folder: str) -> DataFrame:
@@ -112,7 +122,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p2_found, p2_error_rate, p3_found, p3_frequent_values, p4_found, p4_pair_counts, p5_found, p5_term_frequencies,
-        p6_found, p6_packed, p7_found, p7_leaks, p7_scrubbed, p8_found, p8_consistent,
+        p6_found, p6_packed, p7_found, p7_leaks, p7_scrubbed, p8_found, p8_classes, p8_consistent,
     )
 }
 
@@ -132,6 +142,25 @@ _FREQ = f"""
     marked AS (SELECT *, CASE WHEN n_records <= 2 THEN 'rare' WHEN n_records * 10 >= 3 * (SELECT count(*) FROM docs) THEN 'common' END AS mark
                FROM counted)"""
 
+
+
+def _skeleton(text: str) -> str:
+    """SQL for a form in which look-alikes are equal: every letter as its Latin twin, accents composed."""
+    # Cyrillic and Greek letters, with and without accents, and their Latin twins.
+    twins = {"асеһіјорԁѕхуԛԝӏѵ": "acehijopdsxyqwlv", "АВСЕНІЈКМОРЅТХУԌԚԜ": "ABCEHIJKMOPSTXYGQW", "αιορνϲϳ": "aiopvcj", "ΑΒΕΗΙΚΜΝΟΡΤΧΥΖϹͿ": "ABEHIKMNOPTXYZCJ",
+             "άίόϊΐёїѐ": "áíóïḯëïè", "ɡɑӀ": "gaI", "ГПФ": "ΓΠΦ"}
+    narrow = {chr(0xFF01 + k): chr(0x21 + k) for k in range(94)} | dict.fromkeys("\u00a0\u1680\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))), " ")
+    table_ = narrow | {c: t for a, b in twins.items() for c, t in zip(a, b)}
+    quoted = lambda x: "".join(x).replace("'", "''")
+    out = f"regexp_replace({text}, '[\u00ad\u034f\u061c\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe00-\ufe0f\ufeff]', '', 'g')"
+    out = f"translate({out}, '{quoted(table_)}', '{quoted(table_.values())}')"
+    for joined in "ﬀﬁﬂﬃﬄ":
+        out = f"replace({out}, '{joined}', '{unicodedata.normalize('NFKC', joined)}')"
+    return f"nfc_normalize({out})"
+
+
+_LOOKS = f"looks AS (SELECT doc_id, text, {_skeleton('text')} AS form FROM documents WHERE text IS NOT NULL)"
+
 SQL = {
     "p2_found": "SELECT seq FROM (SELECT seq, id, min(seq) OVER (PARTITION BY id) AS first FROM docs WHERE id <> '') WHERE seq > first",
     "p3_found": f"WITH {_ENTRIES} SELECT value FROM entries GROUP BY value HAVING count(*) * 500 >= (SELECT count(*) FROM entries)",
@@ -143,5 +172,11 @@ SQL = {
         {_COUNTED} SELECT name_a, value_a, name_b, value_b, n_a, n_b, n_ab,
         n_ab::DOUBLE * (SELECT n FROM rows)::DOUBLE / (n_a::DOUBLE * n_b::DOUBLE) AS lift FROM counted""",
     "p5_found": f"{_FREQ} SELECT field, term, mark FROM marked WHERE mark IS NOT NULL",
+    "p8_found": f"""
+        WITH {_LOOKS} SELECT DISTINCT least(a.doc_id, b.doc_id) AS doc_id_a, greatest(a.doc_id, b.doc_id) AS doc_id_b
+        FROM looks a JOIN looks b ON a.form = b.form AND a.text < b.text""",
+    "p8_classes": f"""
+        WITH {_LOOKS} SELECT doc_id, min(doc_id) OVER (PARTITION BY form) AS class_doc,
+        count(*) OVER (PARTITION BY form) - count(*) OVER (PARTITION BY form, text) AS n_links FROM looks""",
     "p5_term_frequencies": f"{_FREQ} SELECT field, term, n_records, occurrences, mark FROM marked",
 }

@@ -8,11 +8,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lexigrove.llm import glyphs
-from lexigrove.llm.glyphs import consistent, lookalike_classes, lookalike_pairs, with_consistent_text
+from lexigrove.llm.glyphs import consistent, lookalike_classes, lookalike_links, lookalike_pairs, with_consistent_text
 
 SAME = [
     ("well-run", "ｗｅｌｌ－ｒｕｎ"), ("Kårvik", "Kårvik"), ("Kårvik", "Kа̊rvik"), ("office", "oﬃce"), ("abcd", "a​b­c⁠d﻿"), ("a b", "a b"), ("a b", "a b"),
     ("the register", "tһe reɡiѕter"), ("THE BANK", "TΗΕ BАNK"), ("се качва", "ce кaчвa"), ("ο δρόμος", "o δρόμoς"), ("Thúy", "Thúy"), ("q̣̇", "q̣̇"),
+    ("µg", "μg"), ("paypal", "рауρаl"), ("topic", "τορіс".replace("τ", "t")), ("alpha", "αlphα"), ("LISTEN", "ꓡꓲꓢꓔꓰꓠ"), ("HELP", "ᎻᎬᏞᏢ"), ("soon", "sօօո"), ("Ǽ", "Ӕ́"),
     ("см. ace жук", "cм. асе жук"), ("", "​"), ("ёж", "ёж"), ("ёж", "ëж"), ("peace", "реасе"),
 ]
 APART = ["km2", "km²", "Km2", "cafe", "café", "a-b", "a–b", "rn", "m", "0", "O", "1", "l", "I", "жук", "ab", "a b", "a\nb", "a  b", "½", "ａ1x", "ж", "x", "ﬃx", "Ꙁ", "ε", "e"]
@@ -65,10 +66,15 @@ def test_pairs_against_brute_force(spark):
     known = [(i * 3, t) for i, t in enumerate(texts) if t is not None]
     known.append((0, "ｗell-run"))  # another text of document 0: in pairs with others, never with document 0 itself
     assert got == sorted({(min(a, b), max(a, b)) for (a, x), (b, y) in combinations(known, 2) if a != b and x != y and consistent(x) == consistent(y)})
+    class_of = lambda t: [k for k, x in known_rows if consistent(x) == consistent(t)]
+    known_rows = [*known, (None, "Тhe end.")]
+    links = sorted(lookalike_links(lookalike_classes(df, "doc_id", "text")).collect(), key=str)
+    expected = [(k, min(x for x in class_of(t) if x is not None), sum(consistent(x) == consistent(t) and x != t for _, x in known_rows)) for k, t in known_rows]
+    assert sorted(map(tuple, links), key=str) == sorted(expected, key=str)
     forms = {(r.doc_id, r.text, r.consistent_text) for r in with_consistent_text(df, "doc_id", "text").collect()}
     assert forms >= {(i * 3, t, consistent(t)) for i, t in enumerate(texts)}
 
 
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id BIGINT, text STRING")
-    assert lookalike_pairs(lookalike_classes(df, "doc_id", "text")).count() == 0
+    assert lookalike_pairs(lookalike_classes(df, "doc_id", "text")).count() == lookalike_links(lookalike_classes(df, "doc_id", "text")).count() == 0
