@@ -18,6 +18,7 @@ A shard wastes at most the few containers that rounding leaves, whatever its siz
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 
@@ -34,7 +35,8 @@ SHARD_ITEMS = 50_000
 def best_configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 400) -> list[tuple[list[int], float]]:
     """Configurations and how often to use each, so that their number is least: the linear program's solution.
 
-    Revised simplex with column generation.  ``sizes`` are distinct and at most ``capacity``.
+    Revised simplex with column generation.  ``sizes`` are distinct and at most ``capacity``.  After ``rounds`` columns
+    the best solution so far is taken and a warning logged: any of them gives valid packings, if not the fullest.
     """
     m = len(sizes)
     columns = np.diag([capacity // s for s in sizes]).astype(float)
@@ -48,6 +50,8 @@ def best_configurations(sizes: list[int], demand: list[int], capacity: int, roun
         used = np.linalg.solve(columns, need)
         ratios = np.where(direction > 1e-9, used / np.where(direction > 1e-9, direction, 1), np.inf)
         columns[:, int(np.argmin(ratios))] = configuration
+    else:
+        logging.getLogger(__name__).warning("configurations of %d sizes: not the best after %d rounds", m, rounds)
     used = np.linalg.solve(columns, need)
     return [([int(round(c)) for c in columns[:, j]], max(0.0, float(used[j]))) for j in range(m)]
 
@@ -198,8 +202,35 @@ def pack(counts: DataFrame, capacity: int = 1024, shard_items: int = SHARD_ITEMS
     """
     n_items = counts.count() if n_items is None else n_items
     shards = max(1, math.ceil(n_items / shard_items))
-    dealt = counts.select("doc_id", "n_tokens", F.lit(0).alias("shard"))
-    if shards > 1:
-        dealt = durable(counts.select("doc_id", "n_tokens", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int").alias("shard")))
+    if shards == 1:
+        dealt = counts.select("doc_id", "n_tokens", F.lit(0).alias("shard")).coalesce(1)
+    else:
+        row = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int")
+        dealt = durable(counts.select("doc_id", "n_tokens", row.alias("shard"))).repartitionById(shards, "shard")  # a task for each shard
     schema = "doc_id BIGINT, n_tokens BIGINT, piece INT, n_pieces INT, shard INT, container BIGINT, piece_tokens BIGINT"
-    return dealt.repartition(shards, "shard").mapInArrow(_packed(capacity), schema)
+    return dealt.mapInArrow(_packed(capacity), schema)
+
+
+def packing_report(packed: DataFrame, capacity: int = 1024) -> DataFrame:
+    """One row that tells whether a packing (the result of ``pack``) is valid and full.
+
+    Rows with an id of their own are told apart by it; null and repeated ids are summed up together.
+    """
+    loads = packed.where("container IS NOT NULL").groupBy("shard", "container").agg(F.sum("piece_tokens").alias("load"))
+    filled = loads.agg(F.count(F.lit(1)).alias("n_containers"), F.count_if(F.col("load") > capacity).alias("n_overfull"), F.coalesce(F.sum("load"), F.lit(0)).alias("tokens"))
+    whole = packed.where("piece = 0 OR piece IS NULL")
+    # one row for each piece: every document has a piece 0 and as many as it names
+    pieces = packed.agg(
+        F.count_if(F.col("piece") == 0).alias("n_documents"),
+        F.count_if((F.col("n_tokens") <= capacity) & (F.col("n_pieces") > 1)).alias("n_cut_needlessly"),
+        F.coalesce(F.sum("piece_tokens"), F.lit(0)).alias("packed_tokens"),
+    )
+    documents = whole.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("document_tokens"))
+    least = F.ceil(F.col("tokens") / F.lit(capacity))
+    return filled.crossJoin(F.broadcast(pieces)).crossJoin(F.broadcast(documents)).select(  # three tables of one row
+        "n_documents",
+        "n_overfull",
+        "n_cut_needlessly",
+        ((F.col("packed_tokens") == F.col("tokens")) & (F.col("document_tokens") == F.col("tokens"))).alias("complete"),
+        (F.col("n_containers") <= F.lit(1.01) * least + 1).alias("full"),
+    )

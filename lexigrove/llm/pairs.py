@@ -32,6 +32,8 @@ _ROWS = 1 << 15
 _ENTRIES = 1 << 19
 _PAIRS = 1 << 21
 _COUNTS = "a BIGINT, b BIGINT, n BIGINT"
+#: Bits of the largest filter of items (64 MB).
+_FILTER_BITS = 1 << 29
 
 
 def _tally(a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,17 +138,30 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
         yield np.r_[0, np.cumsum(np.concatenate(sizes))], np.concatenate(codes)
 
 
-def _pruned(start: np.ndarray, codes: np.ndarray, kept: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Without the codes that are not in the sorted array ``kept``."""
-    if kept is None:
-        return start, codes
-    place = np.searchsorted(kept, codes)
-    place[place == len(kept)] = 0
-    stays = kept[place] == codes if len(kept) else np.zeros(len(codes), bool)
+def _pruned(start: np.ndarray, codes: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Without the codes that are not in ``kept``: a sorted array, or a filter (bytes) that lets a few others through."""
+    if kept.dtype == np.uint8:
+        bit = np.mod(codes, 8 * len(kept))
+        stays = kept[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1
+    else:
+        place = np.searchsorted(kept, codes)
+        place[place == len(kept)] = 0
+        stays = kept[place] == codes if len(kept) else np.zeros(len(codes), bool)
     return np.r_[0, np.cumsum(stays)][start], codes[stays]
 
 
-def _counted(heavy: np.ndarray, kept: np.ndarray | None):
+def _filter(codes: DataFrame, n: int) -> np.ndarray:
+    """A bit for each remainder of ``codes``, of 16 bits a code as long as that takes 64 MB at most."""
+    bits = min(_FILTER_BITS, max(1 << 15, 1 << (16 * n).bit_length()))
+    at = F.pmod("code", F.lit(bits)) + 1
+    parts = codes.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    out = np.zeros(bits // 8, np.uint8)
+    for bucket, part in parts.toLocalIterator():  # 64 MB in all
+        out[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(part, np.uint8)
+    return out
+
+
+def _counted(heavy: np.ndarray, kept: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = BlockCounter(heavy)
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -188,9 +203,10 @@ def together(
     table gives an empty result.
 
     The items that reach ``min_count`` are sent to the tasks as a sorted array of hashes if there are ``keep_at_most`` at
-    most (8 MB); beyond that, the tasks count all items, and pairs of rarer ones drop out when names are joined.
-    Distinct items of equal hash would make counts wrong, so hashes are checked against the items: a clash means
-    another seed.
+    most (8 MB), beyond that as a filter of 64 MB at most that lets some rarer items through; their pairs drop out when
+    names are joined.  An item that reaches ``min_count`` must not share its hash with any other: if one does, the
+    operator starts again with another seed.  Clashes of rarer items do no harm.  With F items that reach it among N, F N
+    / 2**64 clashes are to be expected, so that a second attempt is rare and a ninth is taken for a fault.
     """
     spark = df.sparkSession
     n_rows = df.select(F.lit(1)).count()
@@ -203,12 +219,16 @@ def together(
     known = durable(counted.withColumn("code", code(F.col("name"), F.col("value"))))
     frequent = known.where(F.col("n_item") >= min_count)
     by_code = known.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.max("n_item").alias("n_item"))
-    clashes, n_frequent = by_code.agg(F.count_if(F.col("n") > 1), F.count_if(F.col("n_item") >= min_count)).first()
+    reached = F.col("n_item") >= min_count
+    clashes, n_frequent = by_code.agg(F.count_if((F.col("n") > 1) & reached), F.count_if(reached)).first()
     if clashes:
+        if seed >= 8:
+            raise RuntimeError("items clash whatever the seed of their hash")
         return together(df, items, min_count=min_count, keep_at_most=keep_at_most, seed=seed + 1)
-    kept = None
     if n_frequent <= keep_at_most:
         kept = np.sort(np.asarray(frequent.select("code").toPandas()["code"], np.int64))
+    else:
+        kept = _filter(frequent.select("code"), n_frequent)
     dense = known.where(F.col("n_item") * HEAVY_PART >= max(n_rows, HEAVY_PART * min_count))
     heavy = dense.orderBy(F.desc("n_item"), "code").limit(HEAVY_MOST).select("code").toPandas()["code"].to_numpy(np.int64)
 

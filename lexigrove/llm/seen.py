@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from lexigrove.durable import durable
 
 _WORDS = 8
-#: Fixed odd multipliers of the split-block filter, one for each word of a block.
+# The odd multipliers of the split-block Bloom filter in the public Parquet specification, one for each word of a block.
 _SALTS = np.array(
     [0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31], dtype=np.uint32
 )
@@ -170,12 +170,12 @@ def seen_before(
     in ``df``, for measuring errors; null and empty ones are left out.  Other columns are never read.  Empty tables give
     empty results.
 
-    The number of filters follows the number of rows, so that one filter of at most ``keys_per_filter`` keys (3 MB at
-    1%) is all that a task keeps in memory.
+    The number of filters follows the number of rows: one for every ``keys_per_filter`` keys at most (3 MB at 1%), which
+    is all that a task keeps in memory, and one for every core where each then has 20,000 rows.
     """
     spark = df.sparkSession
     expected = df.select(F.lit(1)).count()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(expected / keys_per_filter))
+    parts = max(1, min(spark.sparkContext.defaultParallelism, expected // 20_000), math.ceil(expected / keys_per_filter))
     capacity = math.ceil(1.2 * expected / parts) + 1024
 
     rows = df.select(F.col(order).cast("long").alias("ord"), F.col(key).cast("string").alias("key"))
@@ -202,40 +202,46 @@ def seen_before(
     return SeenResult(filtered.unionByName(repeats).unionByName(keyless))
 
 
-def verified(result: SeenResult, order: str = "ord") -> DataFrame:
-    """(``order``, key, seen): ``result`` with its suspicions compared exactly; keys that were never suspected are not.
+def _checked(result: SeenResult) -> DataFrame:
+    """(ord, key, seen): the rows that the filters suspect, compared exactly.
 
-    Of the suspected keys the earliest arrival is looked up; only those keys and the first rows of each batch take part.
+    The earliest arrival of every key is taken from the first rows of each batch, combined in the map tasks, and kept
+    where the key is suspected at all; certain repeats take no part.
     """
-    flags = result.flags
-    suspects = flags.where("maybe_seen AND NOT certain").select("ord", "key")
-    earliest = (
-        result.rows.where("kind = 1 AND NOT (maybe_seen AND certain)")
-        .select("key", "ord")
-        .join(suspects.select("key").distinct(), "key", "left_semi")
-        .groupBy("key")
-        .agg(F.min("ord").alias("first"))
-    )
-    checked = suspects.join(earliest, "key").select("ord", "key", (F.col("ord") > F.col("first")).alias("seen"))
-    rest = flags.where("certain").select("ord", "key", F.col("maybe_seen").alias("seen"))
-    return checked.unionByName(rest).select(F.col("ord").alias(order), "key", "seen")
+    routed = result.rows.where("kind = 1 AND NOT (maybe_seen AND certain)").select("key", "ord", "maybe_seen")
+    suspects = routed.where("maybe_seen").select("ord", "key")
+    earliest = routed.groupBy("key").agg(F.min("ord").alias("first"), F.max("maybe_seen").alias("suspected")).where("suspected")
+    return suspects.join(earliest, "key").select("ord", "key", (F.col("ord") > F.col("first")).alias("seen"))
+
+
+def verified(result: SeenResult, order: str = "ord") -> DataFrame:
+    """(``order``, key, seen): ``result`` with its suspicions compared exactly."""
+    rest = result.flags.where("certain").select("ord", "key", F.col("maybe_seen").alias("seen"))
+    return _checked(result).unionByName(rest).select(F.col("ord").alias(order), "key", "seen")
 
 
 def error_report(result: SeenResult) -> DataFrame:
     """One row: how many answers there were, how many were wrong, and the error rate measured on absent keys.
 
-    An answer is wrong where the filters suspect a key that the exact check clears; they err in no other way.
+    An answer is wrong where the filters suspect a key that the exact check clears; they err in no other way.  All
+    counts but that of the suspicions that hold come from one pass over the answers.
     """
-    flagged = result.flags.agg(F.count_if("maybe_seen").alias("n")).scalar()
-    probed = result.probes.agg(F.count(F.lit(1)).alias("n")).scalar()
-    probe_wrong = result.probes.agg(F.count_if("wrong").alias("n")).scalar()
-    answers = verified(result).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("seen").alias("n_seen"))
-    return answers.select(
+    answer, probe = F.col("kind") != 2, F.col("kind") == 2
+    counts = result.rows.agg(
+        F.count_if(answer).alias("n_rows"),
+        F.count_if(answer & F.col("maybe_seen") & F.col("certain")).alias("n_certain"),
+        F.count_if(answer & F.col("maybe_seen") & ~F.col("certain")).alias("n_suspected"),
+        F.count_if(probe).alias("n_absent"),
+        F.count_if(probe & F.col("maybe_seen")).alias("n_absent_wrong"),
+    )
+    held = _checked(result).agg(F.count_if("seen").alias("n")).scalar()
+    wrong = (F.col("n_suspected") - held).alias("n_wrong")
+    return counts.select(
         "n_rows",
-        "n_seen",
-        (flagged - F.col("n_seen")).alias("n_wrong"),
-        F.try_divide(flagged - F.col("n_seen"), F.col("n_rows")).alias("wrong_share"),
-        probed.alias("n_absent"),
-        probe_wrong.alias("n_absent_wrong"),
-        F.try_divide(probe_wrong, probed).alias("absent_error_rate"),
+        (F.col("n_certain") + held).alias("n_seen"),
+        wrong,
+        F.try_divide(wrong, F.col("n_rows")).alias("wrong_share"),
+        "n_absent",
+        "n_absent_wrong",
+        F.try_divide("n_absent_wrong", "n_absent").alias("absent_error_rate"),
     )

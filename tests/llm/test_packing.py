@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lexigrove.llm.packing import best_configurations, pack, pack_sizes
+from lexigrove.llm.packing import best_configurations, pack, pack_sizes, packing_report
 from lexigrove.llm.tokens import with_token_counts
 
 
@@ -45,7 +45,10 @@ SCHEMA = "doc_id BIGINT, n_tokens BIGINT, shard STRING"
 def test_pieces(spark):
     rng = np.random.default_rng(4)
     rows = [(int(i), int(rng.integers(0, 400)), "x") for i in range(2000)] + [(5000, 1024, "x"), (5001, 1025, "x"), (5002, 2048, "x"), (5003, 300_000, "x"), (5004, 0, "x"), (7, 9, "x"), (7, 9, "x"), (None, 30, "x"), (None, 2000, "x"), (6000, None, "x")]
-    got = pack(spark.createDataFrame(rows, SCHEMA), 1024, shard_items=500).collect()
+    packed = pack(spark.createDataFrame(rows, SCHEMA), 1024, shard_items=500)
+    assert packing_report(packed).collect() == [(len(rows), 0, 0, True, True)]
+    assert all(len({r.shard for r in part}) == 1 for part in packed.select("shard").rdd.glom().collect() if part)
+    got = packed.collect()
     load, pieces = defaultdict(int), defaultdict(list)
     assert [(r.n_tokens, r.container) for r in got if r.doc_id == 6000] == [(0, None)]
     rows[-1] = (6000, 0, "x")

@@ -71,6 +71,33 @@ def test_hash_clash_takes_another_seed(spark, monkeypatch):
     assert len({str(s) for s in seeds}) == 2
 
 
+def test_clashes_of_rare_items_do_no_harm(spark, monkeypatch):
+    """All rare items share two hashes: no second attempt, right counts, with the array and with the filter."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, "x", [("common", str(i % 3)), ("also", str(i % 2)), *[("rare", f"{i}-{k}") for k in range(4)]]) for i in range(120)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    expected = {tuple(r) for r in pairs.together(df, "items", min_count=10).collect()}
+    assert len(expected) == 6
+    real, seeds = F.xxhash64, set()
+
+    def clashing(seed, name, value):
+        seeds.add(str(seed))
+        return F.when(name == "rare", F.pmod(real(value), F.lit(2))).otherwise(real(seed, name, value))
+
+    monkeypatch.setattr(pairs.F, "xxhash64", clashing)
+    for keep in (10**6, 2):
+        assert {tuple(r) for r in pairs.together(df, "items", min_count=10, keep_at_most=keep).collect()} == expected
+    assert len(seeds) == 1
+
+
+def test_filter(spark):
+    codes = np.random.default_rng(3).integers(-(2**63), 2**63, 20_000, dtype=np.int64)
+    kept = pairs._filter(spark.createDataFrame([(int(c),) for c in codes[:5_000]], "code BIGINT"), 5_000)
+    _, stays = pairs._pruned(np.array([0, len(codes)]), codes, kept)
+    assert set(codes[:5_000].tolist()) <= set(stays.tolist()) and len(stays) < 5_000 + 0.1 * 15_000
+
+
 def test_empty(spark):
     assert pairs.together(spark.createDataFrame([], SCHEMA), "items").count() == 0
     assert pairs.together(spark.createDataFrame([(1, "x", None)], SCHEMA), "items").count() == 0
