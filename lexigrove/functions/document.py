@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexigrove.model import ID_FIELD
 
 #: What validation may find, in the words of the error column.
-EMPTY = "document cannot be empty"
+EMPTY = "neither an id nor a field"
 BAD_ID = "id is not valid utf-8"
 BAD_NAME = "field name is not valid utf-8"
 RESERVED_NAME = "field name is reserved"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -37,15 +39,27 @@ def new_id() -> Column:
     return F.base64(F.unhex(F.replace(F.uuid(), F.lit("-"), F.lit(""))))
 
 
-def prepare(batch: DataFrame, existing_ids: DataFrame | None = None, make_ids: bool = True) -> Prepared:
+#: Whether documents without an id get one, or how: a function from ``idx`` to the id.
+MakeIds = bool | Callable[[Column], Column]
+
+
+def ids_of_batch(seed: str | None = None) -> Callable[[Column], Column]:
+    """Ids of 128 bits, 24 characters, from ``idx`` and a seed; random for each batch unless a seed is given."""
+    seed = uuid.uuid4().hex if seed is None else seed
+    return lambda idx: F.base64(F.unhex(F.md5(F.concat(F.lit(f"{seed}:"), idx.cast("string")))))
+
+
+def prepare(batch: DataFrame, existing_ids: DataFrame | None = None, make_ids: MakeIds = True) -> Prepared:
     """Validate and de-duplicate ``batch`` (idx, id, fields), where ``idx`` numbers the documents.
 
     Ids, names and values may be BINARY or STRING; a null or empty id is none.  Faulty documents are rejected and do not
     reserve their id.  Documents whose id is in ``existing_ids`` (one column, id) are passed over silently.  Of several
     valid documents of one new id the first is accepted and the others are rejected.  Documents without an id get a
-    random one, or are rejected if ``make_ids`` is false.
+    random one (the same whenever the result is evaluated), the one that ``make_ids`` makes of their ``idx``, or are
+    rejected if it is false.
 
-    First occurrences are found by an algebraic aggregate, so that a batch of copies of one id is no hot spot.
+    First occurrences are the least ``idx`` of each id, a hash aggregate of two narrow columns, so that a batch of copies
+    of one id is no hot spot and documents are not moved to find it.  Nothing is written.
     """
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     fields = F.transform(F.col("fields"), lambda e: F.struct(text(e["name"]).alias("name"), text(e["value"]).alias("value")))
@@ -56,17 +70,18 @@ def prepare(batch: DataFrame, existing_ids: DataFrame | None = None, make_ids: b
         F.coalesce(fields, F.array().cast("array<struct<name:string,value:string>>")).alias("fields"),
         error.alias("error"),
     )
-    if not make_ids:
+    if make_ids is False:
         checked = checked.withColumn("error", F.coalesce("error", F.when(F.col("id").isNull(), "document has no id")))
     valid = checked.where("error IS NULL").drop("error")
     named, nameless = valid.where("id IS NOT NULL"), valid.where("id IS NULL")
-    first = named.groupBy("id").agg(F.min_by(F.struct("idx", "fields"), "idx").alias("d")).select("d.idx", "id", "d.fields")
+    first = named.groupBy("id").agg(F.min("idx").alias("idx"))
     if existing_ids is not None:
-        known = existing_ids.select("id").distinct()
-        first = first.join(known, "id", "left_anti").select("idx", "id", "fields")  # one row for each id by now
+        known = existing_ids.select("id").join(first.select("id"), "id", "left_semi").distinct()  # a few of the existing ones
+        first = first.join(known, "id", "left_anti")
         named = named.join(known, "id", "left_anti")
     again = named.select("idx", "id").join(first.select("idx"), "idx", "left_anti")
-    accepted = durable(first.unionByName(nameless.withColumn("id", new_id()).select("idx", "id", "fields")))
+    given = (ids_of_batch() if make_ids is True or make_ids is False else make_ids)(F.col("idx"))
+    accepted = named.join(first.select("idx"), "idx", "left_semi").unionByName(nameless.withColumn("id", given)).select("idx", "id", "fields")
     rejects = checked.where("error IS NOT NULL").select("idx", "id", "error").unionByName(again.withColumn("error", F.lit(DUPLICATE_ID)))
     return Prepared(accepted, rejects)
 

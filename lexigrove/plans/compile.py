@@ -23,6 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexigrove.functions.matching import any_matches, by_automaton, matches
 from lexigrove.model import ID_FIELD, KEY
 from lexigrove.query import And, Not, Or, Query, Regexp, Term
 
@@ -34,7 +35,7 @@ def leaf_predicate(leaf: Query, field: Column, term: Column) -> Column:
     if isinstance(leaf, Term):
         return (field == leaf.field) & (term == leaf.value)
     pattern = leaf.compiled
-    found = (field == leaf.field) & term.rlike(pattern.java)
+    found = (field == leaf.field) & matches(term, pattern)
     return found & term.startswith(pattern.prefix) if pattern.prefix else found
 
 
@@ -63,6 +64,8 @@ def scan_predicate(query: Query, fields: Column | str = "fields", id: Column | s
     def of(leaf: Query) -> Column:
         if leaf.field == ID_FIELD:
             return F.coalesce(leaf_predicate(leaf, F.lit(ID_FIELD), id), F.lit(False))
+        if isinstance(leaf, Regexp) and by_automaton(leaf.compiled):
+            return any_matches(fields, leaf.field, leaf.compiled)
         found = F.exists(fields, lambda e: F.coalesce(leaf_predicate(leaf, e["name"], e["value"]), F.lit(False)))
         return F.coalesce(found, F.lit(False))
 
@@ -73,10 +76,10 @@ def _any(predicates: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, predicates)
 
 
-def _looked_up(leaves: list[Query], postings: DataFrame, docs: DataFrame) -> DataFrame:
-    """The postings that any of ``leaves`` can use.  Documents stand for the postings of their ids."""
-    of_id = [leaf for leaf in leaves if leaf.field == ID_FIELD]
-    others = [leaf for leaf in leaves if leaf.field != ID_FIELD]
+def _looked_up(leaves: list[Query], postings: DataFrame, docs: DataFrame, ids_posted: bool) -> DataFrame:
+    """The postings that any of ``leaves`` can use.  Documents stand for the postings of their ids where those are missing."""
+    of_id = [leaf for leaf in leaves if leaf.field == ID_FIELD and not ids_posted]
+    others = [leaf for leaf in leaves if leaf.field != ID_FIELD or ids_posted]
     parts = []
     if others:
         # terms of one field become one IN list, which stays short and is pushed down as such
@@ -88,18 +91,19 @@ def _looked_up(leaves: list[Query], postings: DataFrame, docs: DataFrame) -> Dat
             else:
                 predicates.append(leaf_predicate(leaf, F.col("field"), F.col("term")))
         predicates += [(F.col("field") == f) & F.col("term").isin(values) for f, values in terms.items()]
-        parts.append(postings.where(_any(predicates)).select(*KEY, "field", "term"))
+        of_fields = postings.where(F.col("field").isin(sorted({leaf.field for leaf in others})))  # before any automaton
+        parts.append(of_fields.where(_any(predicates)).select(*KEY, "field", "term"))
     if of_id:
         found = docs.where(_any([leaf_predicate(leaf, F.lit(ID_FIELD), F.col("id")) for leaf in of_id]))
         parts.append(found.select(*KEY, F.lit(ID_FIELD).alias("field"), F.col("id").alias("term")))
     return reduce(DataFrame.unionByName, parts)
 
 
-def _flags(query: Query, docs: DataFrame, postings: DataFrame) -> DataFrame:
+def _flags(query: Query, docs: DataFrame, postings: DataFrame, ids_posted: bool) -> DataFrame:
     leaves = query.leaves()
     if not leaves:
         return docs.select(*KEY).where(_expression(query, {}))
-    found = _looked_up(leaves, postings, docs)
+    found = _looked_up(leaves, postings, docs, ids_posted)
     if len(leaves) == 1 and query.normal() == leaves[0]:
         return found.select(*KEY).distinct()
     flags = [F.max(F.coalesce(leaf_predicate(leaf, F.col("field"), F.col("term")), F.lit(False))).alias(f"f{i}") for i, leaf in enumerate(leaves)]
@@ -110,18 +114,18 @@ def _flags(query: Query, docs: DataFrame, postings: DataFrame) -> DataFrame:
     return docs.select(*KEY).join(flagged.where(~holds).select(*KEY), list(KEY), "left_anti")
 
 
-def _joins(query: Query, docs: DataFrame, postings: DataFrame) -> DataFrame:
+def _joins(query: Query, docs: DataFrame, postings: DataFrame, ids_posted: bool) -> DataFrame:
     keys = list(KEY)
     if isinstance(query, (Term, Regexp)):
-        return _looked_up([query], postings, docs).select(*KEY).distinct()
+        return _looked_up([query], postings, docs, ids_posted).select(*KEY).distinct()
     if isinstance(query, Not):
-        return docs.select(*KEY).join(_joins(query.query, docs, postings), keys, "left_anti")
+        return docs.select(*KEY).join(_joins(query.query, docs, postings, ids_posted), keys, "left_anti")
     if not query.queries:
         return docs.select(*KEY).where(F.lit(False))
     if isinstance(query, Or):
-        return reduce(DataFrame.union, [_joins(q, docs, postings) for q in query.queries]).distinct()
-    positive = [_joins(q, docs, postings) for q in query.queries if not isinstance(q, Not)]
-    negative = [_joins(q.query, docs, postings) for q in query.queries if isinstance(q, Not)]
+        return reduce(DataFrame.union, [_joins(q, docs, postings, ids_posted) for q in query.queries]).distinct()
+    positive = [_joins(q, docs, postings, ids_posted) for q in query.queries if not isinstance(q, Not)]
+    negative = [_joins(q.query, docs, postings, ids_posted) for q in query.queries if isinstance(q, Not)]
     start = positive[0] if positive else docs.select(*KEY)
     start = reduce(lambda a, b: a.join(b, keys, "left_semi"), positive[1:], start)
     return reduce(lambda a, b: a.join(b, keys, "left_anti"), negative, start)
@@ -133,17 +137,21 @@ def _checked(query: Query, strategy: str) -> Query:
     return query.normal()
 
 
-def matching_keys(query: Query, docs: DataFrame, postings: DataFrame | None, strategy: str = "auto") -> DataFrame:
-    """(segment_id, doc_ord) of the documents that match.  Without postings, documents are scanned."""
+def matching_keys(query: Query, docs: DataFrame, postings: DataFrame | None, strategy: str = "auto", ids_posted: bool = False) -> DataFrame:
+    """(segment_id, doc_ord) of the documents that match.
+
+    Without postings documents are scanned, since postings made on the spot would cost a pass over them, an exchange and
+    a join; with postings, ``auto`` is ``flags``.  ``ids_posted``: the postings hold those of the ids.
+    """
     query = _checked(query, strategy)
     if postings is None or strategy == "scan":
         return docs.where(scan_predicate(query)).select(*KEY)
-    return (_joins if strategy == "joins" else _flags)(query, docs, postings)
+    return (_joins if strategy == "joins" else _flags)(query, docs, postings, ids_posted)
 
 
-def matching_documents(query: Query, docs: DataFrame, postings: DataFrame | None, strategy: str = "auto") -> DataFrame:
+def matching_documents(query: Query, docs: DataFrame, postings: DataFrame | None, strategy: str = "auto", ids_posted: bool = False) -> DataFrame:
     """The whole documents that match, each once, with all columns of ``docs``."""
     query = _checked(query, strategy)
     if postings is None or strategy == "scan":
         return docs.where(scan_predicate(query))
-    return docs.join(matching_keys(query, docs, postings, strategy), list(KEY), "left_semi")
+    return docs.join(matching_keys(query, docs, postings, strategy, ids_posted), list(KEY), "left_semi")

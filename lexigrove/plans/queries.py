@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrove.durable import ensure_checkpoint_dir
+from lexigrove.durable import scratch
 from lexigrove.functions import document
 from lexigrove.model import ID_FIELD
 from lexigrove.operators import postings as sets
@@ -68,8 +67,10 @@ _LIVE, _SECONDS, _HALL, _RELAY = Term("tier", "live"), Term("unit", "seconds"),
 _CREW = Regexp("owner", "^(?:delta|cedar)-.*")
 _TOTAL = Regexp("__name__", "_total")
 _MIXED = Or(And(_LIVE, _TOTAL, Not(_HALL)), And(Not(_LIVE), Or(_SECONDS, _RELAY)), Not(Or(Regexp("build", r"^\d"), Term("zone", "harbor-1"))))
+_WORDY = Regexp("owner", "^(?:(?:[a-z]|-)+)*(?:delta|cedar)(?:-|[a-z])*$")
 _W_LIVE, _W_SECONDS, _W_HALL, _W_RELAY = (_t(q.field, q.value) for q in (_LIVE, _SECONDS, _HALL, _RELAY))
 _W_CREW, _W_TOTAL = _r("owner", "^(?:delta|cedar)-.*"), _r("__name__", "_total")
+_W_WORDY = _r("owner", _WORDY.pattern)
 _W_MIXED = (
     f"({_W_LIVE} AND {_W_TOTAL} AND NOT {_W_HALL}) OR (NOT {_W_LIVE} AND ({_W_SECONDS} OR {_W_RELAY})) "
     rf"OR NOT ({_r('build', '^[0-9]')} OR {_t('zone', 'harbor-1')})"
@@ -84,6 +85,9 @@ _search("regexp_unanchored", _TOTAL, _W_TOTAL)
 _search("regexp_prefix", Regexp("host", "^rk0[0-4]-n000"), _r("host", "^rk0[0-4]-n000"))
 _search("regexp_full", Regexp("build", r"\d[.]4[.].", anchored=True), _r("build", "[0-9][.]4[.].", "regexp_full_match"))
 _search("regexp_folded", Regexp("zone", "(?i)HARBOR-[[:digit:]]$"), _r("zone", "(?i)HARBOR-[0-9]$"))
+_search("regexp_alternation", _WORDY, _W_WORDY)  # repeated groups, matched by an automaton
+_search("regexp_alternation_scan", _WORDY, _W_WORDY, "scan")
+_search("regexp_nested_loops", And(Regexp("host", "(?:[a-z]+[0-9]*)+-n(?:0|1|2)*$"), Not(_LIVE)), _r("host", "(?:[a-z]+[0-9]*)+-n(?:0|1|2)*$") + f" AND NOT {_W_LIVE}")
 _search("negation", Not(_LIVE), f"NOT {_W_LIVE}")
 _search("negation_absent_field", Not(Term("shard", "50")), f"NOT {_t('shard', '50')}")
 _search("conjunction", And(_LIVE, _CREW, Not(_HALL)), f"{_W_LIVE} AND {_W_CREW} AND NOT {_W_HALL}")
@@ -153,7 +157,7 @@ def document_frequency(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query("SELECT count(*) AS n FROM docs")
 def size(spark: SparkSession, folder: str) -> DataFrame:
-    return corpus(spark, folder).all_docs().agg(F.count(F.lit(1)).alias("n"))
+    return spark.createDataFrame([(corpus(spark, folder).size(),)], "n BIGINT")
 
 
 @_query("SELECT segment_id, doc_ord FROM docs")
@@ -207,8 +211,8 @@ _set_query("postings_difference", sets.difference, "EXCEPT")
 
 @_query(f"SELECT min(doc_ord) AS low, max(doc_ord) AS high, count(DISTINCT doc_ord) AS n FROM ({_p('shard', '50')})")
 def postings_bounds(spark: SparkSession, folder: str) -> DataFrame:
-    """An aggregate of one row; ``postings.bounds`` raises where it is null."""
-    return _postings_of(spark, folder, "shard", "50").agg(F.min("doc_ord").alias("low"), F.max("doc_ord").alias("high"), F.count_distinct("doc_ord").alias("n"))
+    found = _postings_of(spark, folder, "shard", "50").select("doc_ord")
+    return spark.createDataFrame([(*sets.bounds(found), sets.size(found))], "low BIGINT, high BIGINT, n BIGINT")
 
 
 @_query(f"SELECT doc_ord FROM ({_p('shard', '50')}) UNION SELECT unnest(range(3, 50)) AS doc_ord")
@@ -261,8 +265,7 @@ def merge_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @_query(f"SELECT seq FROM docs WHERE {_W_MIXED.replace(chr(92) + 'd', '[0-9]')}")
 def save_load_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """The records written as a segment of Parquet files, read again and searched."""
-    ensure_checkpoint_dir(spark)
-    root = f"{spark.sparkContext.getCheckpointDir()}/store-{uuid.uuid4().hex}"
+    root = scratch(spark, "store")
     docs = table(spark, folder, "docs")
     store.save(docs.select(F.col("seq").alias("doc_ord"), "id", F.filter("fields", lambda e: (e["name"] != "") & (e["value"] != "")).alias("fields")), root, 0)
     return store.load(spark, root).search(_MIXED).select(F.col("doc_ord").alias("seq"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexigrove.durable import durable
 from lexigrove.model import DOCS, ClosedError, SealedError
-from lexigrove.operators.ingest import BatchError, Prepared, numbered, prepare, refuse_if_faulty, to_postings
+from lexigrove.operators.ingest import BatchError, MakeIds, Prepared, numbered, prepare, refuse_if_faulty
 from lexigrove.sources.snapshot import Snapshot, merged
 
 _BATCH = "idx BIGINT, id STRING, fields ARRAY<STRUCT<name: STRING, value: STRING>>"
@@ -19,10 +19,11 @@ class Segment:
     """A segment that takes documents until it is sealed.
 
     The first document of an id stays; there is no update and no delete.  What a batch adds becomes visible at once and
-    to later snapshots only.  One writer at a time.
+    to later snapshots only.  One writer at a time.  ``make_ids``: whether documents without an id get one, or how, as a
+    function from ``idx`` to the id.  Searches scan the documents; segments on disk have postings.
     """
 
-    def __init__(self, spark: SparkSession, segment_id: int = 0, make_ids: bool = True):
+    def __init__(self, spark: SparkSession, segment_id: int = 0, make_ids: MakeIds = True):
         self.spark, self.segment_id, self._make_ids = spark, segment_id, make_ids
         self._docs = spark.createDataFrame([], DOCS)
         self._next = 0
@@ -49,9 +50,8 @@ class Segment:
             refuse_if_faulty(prepared)
         fresh = numbered(prepared.accepted, ["idx"], self._next)
         fresh = fresh.select(F.lit(self.segment_id).cast("long").alias("segment_id"), "doc_ord", "id", "fields")
-        added = prepared.accepted.count()
         self._docs = self._docs.unionByName(fresh)  # of parts that are written already
-        self._next += added
+        self._next += fresh.count()
         return prepared
 
     def insert(self, fields: Iterable[tuple[str, str]], id: str | None = None) -> str:
@@ -73,7 +73,7 @@ class Segment:
     def snapshot(self) -> Snapshot:
         """What the segment holds now; later inserts do not show."""
         self._open()
-        return Snapshot(self._docs, to_postings(self._docs), bound=self._next)
+        return Snapshot(self._docs, bound=self._next)
 
     def size(self) -> int:
         return 0 if self._closed else self._next

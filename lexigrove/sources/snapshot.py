@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -19,24 +20,26 @@ class Snapshot:
 
     ``postings`` may be left out; searches then scan the documents.  ``bound`` limits both to ordinals below it, so that
     counts and results agree whatever is appended later.  Results are DataFrames in no order; sort by (segment_id,
-    doc_ord) where order matters.  The same id in two segments is two documents.
+    doc_ord) where order matters.  The same id in two segments is two documents.  ``ids_posted``: the postings hold those
+    of the ids, so that ids are looked up there and not in the documents.
     """
 
-    def __init__(self, docs: DataFrame, postings: DataFrame | None = None, bound: int | Column | None = None):
+    def __init__(self, docs: DataFrame, postings: DataFrame | None = None, bound: int | Column | None = None, ids_posted: bool = False):
         if bound is not None:
             docs = docs.where(F.col("doc_ord") < bound)
             postings = None if postings is None else postings.where(F.col("doc_ord") < bound)
         self._docs, self._postings, self._closed = docs, postings, False
+        self._ids_posted = ids_posted and postings is not None
 
     @classmethod
     def of(cls, snapshots: Iterable[Snapshot]) -> Snapshot:
         """Several snapshots as one; results follow one another without removal of repeated ids."""
-        docs = postings = None
-        for s in snapshots:
-            docs = s.docs if docs is None else docs.unionByName(s.docs)
-            p = s.postings
-            postings = p if postings is None else postings.unionByName(p)
-        return cls(docs, postings)
+        snapshots = list(snapshots)
+        docs = reduce(DataFrame.unionByName, [s.docs for s in snapshots])
+        if all(s._postings is None for s in snapshots):
+            return cls(docs)
+        ids_posted = all(s._ids_posted or s._postings is None for s in snapshots)
+        return cls(docs, reduce(DataFrame.unionByName, [s.postings for s in snapshots]), ids_posted=ids_posted)
 
     def _open(self) -> None:
         if self._closed:
@@ -55,12 +58,12 @@ class Snapshot:
     def search(self, query: Query, strategy: str = "auto") -> DataFrame:
         """The whole documents that ``query`` matches."""
         self._open()
-        return matching_documents(query, self._docs, self._postings, strategy)
+        return matching_documents(query, self._docs, self._postings, strategy, self._ids_posted)
 
     def match(self, query: Query, strategy: str = "auto") -> DataFrame:
         """(segment_id, doc_ord) of the documents that ``query`` matches."""
         self._open()
-        return matching_keys(query, self._docs, self._postings, strategy)
+        return matching_keys(query, self._docs, self._postings, strategy, self._ids_posted)
 
     def all_docs(self) -> DataFrame:
         return self.docs
@@ -86,11 +89,13 @@ class Snapshot:
 
     def terms(self, field: str) -> DataFrame:
         """(term): the distinct values of ``field``; none for an unknown field."""
-        if field == ID_FIELD:
+        if field == ID_FIELD and not self._ids_posted:
             return self.docs.where("id IS NOT NULL").select(F.col("id").alias("term")).distinct()
         return self.postings.where(F.col("field") == field).select("term").distinct()
 
     def contains_id(self, id: str) -> bool:
+        if self._ids_posted:
+            return self.contains_term(ID_FIELD, id)
         return not self.docs.where(F.col("id") == id).isEmpty()
 
     def contains_field(self, field: str) -> bool:
@@ -99,6 +104,12 @@ class Snapshot:
     def contains_term(self, field: str, term: str) -> bool:
         return not self.postings.where((F.col("field") == field) & (F.col("term") == term)).isEmpty()
 
+    def known_ids(self) -> DataFrame:
+        """(id): the ids of the documents, as often as they occur, without their fields."""
+        if self._ids_posted:
+            return self.postings.where(F.col("field") == ID_FIELD).select(F.col("term").alias("id"))
+        return self.docs.where("id IS NOT NULL").select("id")
+
     def size(self) -> int:
         return 0 if self._closed else self._docs.count()
 
@@ -134,9 +145,10 @@ def merged(sources: list[DataFrame], segment_id: int = 0) -> DataFrame:
     for k, docs in enumerate(sources):
         part = docs.select(F.lit(k).alias("__src"), F.col("segment_id").cast("long").alias("__seg"), F.col("doc_ord").alias("__ord"), "id", "fields")
         tagged = part if tagged is None else tagged.unionByName(part)
-    place = ("__src", "__seg", "__ord")
-    named = tagged.where(F.length("id") > 0)
-    first = named.groupBy("id").agg(F.min_by(F.struct(*place, "fields"), F.struct(*place)).alias("d")).select(*[f"d.{c}" for c in place], "id", "d.fields")
-    kept = first.unionByName(tagged.where(~F.coalesce(F.length("id") > 0, F.lit(False))).select(*first.columns))
-    ordered = numbered(kept, list(place))
+    place = ["__src", "__seg", "__ord"]
+    named, nameless = tagged.where(F.length("id") > 0), tagged.where(~F.coalesce(F.length("id") > 0, F.lit(False)))
+    # ids and places alone find the first of each id; documents are moved once, to be numbered
+    first = named.groupBy("id").agg(F.min(F.struct(*place)).alias("p")).select(*[f"p.{c}" for c in place])
+    kept = named.join(first, place, "left_semi").unionByName(nameless)
+    ordered = numbered(kept, place)
     return ordered.select(F.lit(segment_id).cast("long").alias("segment_id"), "doc_ord", "id", "fields")

@@ -21,7 +21,7 @@ def write_batch(root: str, batch: DataFrame, batch_id: int, skip_known_ids: bool
     if batch_id in done:
         return
     earlier = [s for s in done if s < batch_id]
-    known = load(spark, root, earlier).docs if skip_known_ids and earlier else None
+    known = load(spark, root, earlier).known_ids() if skip_known_ids and earlier else None
     accepted = numbered(prepare(batch, known).accepted, ["idx"])
     save(accepted, root, batch_id, overwrite=True)
 

@@ -4,9 +4,10 @@ import pytest
 from oracle import FOLDER, same
 
 from lexigrove.operators import queries as keyed
+from lexigrove.plans import engine_queries as engine
 from lexigrove.plans import queries as searches
 
-QUERIES, SQL = keyed.QUERIES | searches.QUERIES, keyed.SQL | searches.SQL
+QUERIES, SQL = keyed.QUERIES | searches.QUERIES | engine.QUERIES, keyed.SQL | searches.SQL | engine.SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
