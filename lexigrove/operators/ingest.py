@@ -14,6 +14,9 @@ from lexigrove.functions.document import DUPLICATE_ID, validation_error
 from lexigrove.model import ID_FIELD, LexigroveError
 
 
+NO_ID = "document has no id"
+
+
 class BatchError(LexigroveError):
     """A batch was refused whole.  ``errors``: (idx, id, error) of the faulty documents, 100 at most."""
 
@@ -71,7 +74,7 @@ def prepare(batch: DataFrame, existing_ids: DataFrame | None = None, make_ids: M
         error.alias("error"),
     )
     if make_ids is False:
-        checked = checked.withColumn("error", F.coalesce("error", F.when(F.col("id").isNull(), "document has no id")))
+        checked = checked.withColumn("error", F.coalesce("error", F.when(F.col("id").isNull(), NO_ID)))
     valid = checked.where("error IS NULL").drop("error")
     named, nameless = valid.where("id IS NOT NULL"), valid.where("id IS NULL")
     first = named.groupBy("id").agg(F.min("idx").alias("idx"))

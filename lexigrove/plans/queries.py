@@ -11,7 +11,7 @@ from lexigrove.durable import scratch
 from lexigrove.functions import document
 from lexigrove.model import ID_FIELD
 from lexigrove.operators import postings as sets
-from lexigrove.operators.ingest import prepare, to_postings
+from lexigrove.operators.ingest import prepare
 from lexigrove.query import And, Not, Or, Query, Regexp, Term
 from lexigrove.sources import store
 from lexigrove.sources.loaders import rows_as_documents
@@ -41,8 +41,7 @@ def event_corpus(spark: SparkSession, folder: str, segments: int = 1) -> Snapsho
     """Events as documents, dealt into segments by their id."""
     events = table(spark, folder, "events")
     columns = {"event_type": "event_type", "user_id": "user_id", "k": F.get_json_object("props", "$.k")}
-    docs = rows_as_documents(events, "event_id", columns, F.col("event_id") % segments)
-    return Snapshot(docs, to_postings(docs, with_ids=False))
+    return Snapshot(rows_as_documents(events, "event_id", columns, F.col("event_id") % segments))
 
 
 def _t(field: str, value: str) -> str:

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import base64
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrove.durable import durable
+from lexigrove.functions.document import validation_error
 from lexigrove.model import DOCS, ClosedError, SealedError
-from lexigrove.operators.ingest import BatchError, MakeIds, Prepared, numbered, prepare, refuse_if_faulty
+from lexigrove.operators.ingest import NO_ID, BatchError, MakeIds, Prepared, numbered, prepare, refuse_if_faulty
 from lexigrove.sources.snapshot import Snapshot, merged
 
 _BATCH = "idx BIGINT, id STRING, fields ARRAY<STRUCT<name: STRING, value: STRING>>"
+#: Single documents that the driver holds before they are written together.
+_HELD = 1000
 
 
 class Segment:
@@ -25,7 +30,9 @@ class Segment:
 
     def __init__(self, spark: SparkSession, segment_id: int = 0, make_ids: MakeIds = True):
         self.spark, self.segment_id, self._make_ids = spark, segment_id, make_ids
-        self._docs = spark.createDataFrame([], DOCS)
+        self._written = spark.createDataFrame([], DOCS)
+        self._held: list[tuple] = []  # single documents, not written yet
+        self._held_ids: set[str] = set()
         self._next = 0
         self._sealed = self._closed = False
 
@@ -50,25 +57,42 @@ class Segment:
             refuse_if_faulty(prepared)
         fresh = numbered(prepared.accepted, ["idx"], self._next)
         fresh = fresh.select(F.lit(self.segment_id).cast("long").alias("segment_id"), "doc_ord", "id", "fields")
-        self._docs = self._docs.unionByName(fresh)  # of parts that are written already
+        self._written = self._written.unionByName(fresh)  # of parts that are written already
         self._next += fresh.count()
         return prepared
 
     def insert(self, fields: Iterable[tuple[str, str]], id: str | None = None) -> str:
         """Add one document and return its id; a document of that id that is already here stays as it is."""
         self._writable()
-        batch = self.spark.createDataFrame([(0, id, [tuple(f) for f in fields])], _BATCH)
-        prepared = self.insert_batch(batch)
-        made = prepared.accepted.select("id").first()
-        return id if made is None else made[0]
+        text = lambda x: "" if x is None else x
+        entries = [(text(name), text(value)) for name, value in fields]
+        batch = self.spark.createDataFrame([(self._next, id or None, entries)], _BATCH)
+        made = self._make_ids(F.col("idx")) if callable(self._make_ids) else F.lit(base64.b64encode(uuid.uuid4().bytes).decode())
+        error, made = batch.select(validation_error("id", "fields"), made).first()
+        if error is None and not id and self._make_ids is False:
+            error = NO_ID
+        if error is not None:
+            raise BatchError([{"idx": 0, "id": id, "error": error}])
+        if id and (id in self._held_ids or not self._written.where(F.col("id") == id).isEmpty()):
+            return id
+        self._held.append((self.segment_id, self._next, id or made, entries))
+        self._held_ids.add(id or made)
+        self._next += 1
+        if len(self._held) >= _HELD:
+            self._written, self._held, self._held_ids = durable(self._docs), [], set()
+        return id or made
+
+    @property
+    def _docs(self) -> DataFrame:
+        return self._written.unionByName(self.spark.createDataFrame(self._held, DOCS)) if self._held else self._written
 
     def merge(self, *sources: Segment | Snapshot) -> None:
         """Add all documents of ``sources``, in order; of one id the first stays, those here before all."""
         self._writable()
         snapshots = [s.snapshot() if isinstance(s, Segment) else s for s in sources]
         docs = merged([self._docs, *(s.docs for s in snapshots)], self.segment_id)
-        self._docs = durable(docs)
-        self._next = self._docs.count()
+        self._written, self._held, self._held_ids = durable(docs), [], set()
+        self._next = self._written.count()
 
     def snapshot(self) -> Snapshot:
         """What the segment holds now; later inserts do not show."""

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexigrove.functions import document
 from lexigrove.functions.items import distinct_items, usable_entries
@@ -158,3 +159,76 @@ def test_stream(spark, tmp_path):
     ingest(spark.readStream.schema(BATCH).parquet(str(source)), root, str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
     s = store.load(spark, root)
     assert store.segments(spark, root) == [0, 1] and s.size() == 3 and {r.term for r in s.terms("f").collect()} == {"x", "z", "new"}
+
+
+def test_segment_writes_single_documents_together(spark, monkeypatch):
+    from lexigrove.sources import segment as module
+
+    monkeypatch.setattr(module, "_HELD", 3)
+    s = Segment(spark, make_ids=lambda idx: F.concat(F.lit("made-"), idx))
+    made = [s.insert([("k", str(i))]) for i in range(4)]
+    assert made == [f"made-{i}" for i in range(4)] and s.insert([], id="made-1") == "made-1" and s.insert([], id="made-3") == "made-3"
+    for bad in ([], [(ID_FIELD, "x")]):
+        with pytest.raises(BatchError):
+            s.insert(bad)
+    with pytest.raises(BatchError):
+        Segment(spark, make_ids=False).insert([("a", "b")])
+    s.insert_batch(spark.createDataFrame([(0, "made-3", [("k", "no")]), (1, "z", [(None, "v")])], BATCH), partial=True)
+    assert [(r.doc_ord, r.id) for r in s.snapshot().docs.orderBy("doc_ord").collect()] == [*enumerate(made), (4, "z")]
+
+
+def test_overwrite_survives_a_crash(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(0, 0, "a", [("f", "x")]), (0, 1, "b", [("f", "x")])], DOCS)
+    root = str(tmp_path)
+    store.save(docs, root, 0)
+    with pytest.raises(store.StoreError):
+        store.save(docs, root, 0)
+
+    def crash(*_):
+        raise RuntimeError("crash")
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "to_postings", crash)  # after the documents, before the commit
+        with pytest.raises(RuntimeError):
+            store.save(docs.where("doc_ord = 1"), root, 0, overwrite=True)
+    before = store.load(spark, root)
+    assert before.size() == 2 and before.search(Term("f", "x")).count() == 2 and store.metadata(spark, root, 0)["num_docs"] == 2
+    store.save(docs.where("doc_ord = 1"), root, 0, overwrite=True)
+    assert before.size() == 2 and store.load(spark, root).size() == 1 == store.metadata(spark, root, 0)["num_docs"]
+    assert store.vacuum(spark, root) == 4 and store.load(spark, root).search(Term("f", "x")).count() == 1 and store.vacuum(spark, root) == 0
+
+
+def test_opening_takes_one_job_for_any_number_of_segments(spark, tmp_path):
+    docs = spark.createDataFrame([(0, 0, "a", [("f", "x")])], DOCS)
+    sc, jobs = spark.sparkContext, {}
+    for n in (2, 5):
+        root = str(tmp_path / str(n))
+        for k in range(n):
+            store.save(docs, root, k)
+        sc.setJobGroup(f"open-{n}", "")
+        assert len(store.load(spark, root).docs.columns) == 4
+        jobs[n] = len(sc.statusTracker().getJobIdsForGroup(f"open-{n}"))
+        sc.setJobGroup("", "")
+        s = store.load(spark, root)
+        assert s.size() == n and s.contains_id("a") and not s.contains_id("b") and s.search(Term(ID_FIELD, "a")).count() == n
+    assert jobs[2] == jobs[5] <= 2
+
+
+def test_other_formats(spark, tmp_path):
+    docs = spark.createDataFrame([(0, 0, "a", [("f", "x")])], DOCS)
+
+    class Csv:
+        """Tables as rows of JSON text."""
+
+        name = "json-text"
+
+        def write(self, df, path):
+            df.write.mode("overwrite").json(path)
+
+        def read(self, spark, schema, paths):
+            return spark.read.schema(schema).json(paths)
+
+    store.register_format(Csv())
+    for k, fmt in enumerate(("parquet", "orc", "json-text")):
+        store.save(docs, str(tmp_path), k, fmt=fmt)
+    assert sorted(r.segment_id for r in store.load(spark, str(tmp_path)).search(Term("f", "x")).collect()) == [0, 1, 2]

@@ -26,6 +26,12 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_nothing_is_indexed_on_the_spot(spark, capsys):
+    searches.event_corpus(spark, FOLDER).search(searches.Term("k", "69")).explain()
+    plan = capsys.readouterr().out
+    assert "Exchange" not in plan and "Join" not in plan and "Generate" not in plan
+
+
 def test_term_lookup_is_pushed_down(spark, capsys):
     searches.corpus(spark, FOLDER).match(searches._RELAY).explain()
     plan = capsys.readouterr().out
