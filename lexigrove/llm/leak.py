@@ -23,7 +23,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -233,20 +233,26 @@ class ItemIndex:
         pair, entry, at = pair[kept], entry[kept], np.repeat(at, size)[kept]
         order = np.lexsort((at, pair))
         pair, entry, at = pair[order], entry[order], at[order]
+        # a window's width away from a hit there must be as many others as a candidate needs
+        ahead = np.arange(len(pair)) + self.need[pair % n_items] - 1
+        near = ahead < len(pair)
+        ahead[~near] = 0
+        near &= (pair[ahead] == pair) & (at[ahead] - at < 1 << self.shift[pair % n_items])
         group = _starts(pair)
-        for a, b in zip(group[:-1].tolist(), group[1:].tolist()):
+        dense = np.logical_or.reduceat(near, group[:-1]) if len(pair) else near
+        for a, b in zip(group[:-1][dense].tolist(), group[1:][dense].tolist()):
             d, item = divmod(int(pair[a]), n_items)
-            hits = _Hits(at[a:b] - start[d], entry[a:b])
+            hits = _Hits((at[a:b] - start[d]).tolist(), entry[a:b])
             for low, high in self._windows(hits, item, int(start[d + 1] - start[d])):
-                for a, b in _cut(low, high, 1 << int(self.shift[item]), hits.place):
-                    yield _Candidate(d, item, a, h[start[d] + a : start[d] + b])
+                for first, end in _cut(low, high, 1 << int(self.shift[item]), hits.place):
+                    yield _Candidate(d, item, first, h[start[d] + first : start[d] + end])
 
     def _windows(self, hits: _Hits, item: int, n_text: int) -> list[tuple[int, int]]:
         width = 1 << int(self.shift[item])
         out: list[tuple[int, int]] = []
         if n_text <= width:
             return [(0, n_text)] if self.enough(hits, item, 0, n_text) else []
-        for low in range(int(hits.place[0]) // width * width - width // 2, int(hits.place[-1]) + 1, width // 2):
+        for low in range(hits.place[0] // width * width - width // 2, hits.place[-1] + 1, width // 2):
             if self.enough(hits, item, low, low + width):
                 a, b = max(0, low - width // 2), min(n_text, low + width + width // 2)
                 if out and a <= out[-1][1]:
@@ -258,7 +264,7 @@ class ItemIndex:
     def enough(self, hits: _Hits, item: int, low: int, high: int) -> bool:
         """Whether a stretch of a text holds enough different n-grams of an item, in order of the text and of the item."""
         need = int(self.need[item])
-        a, b = np.searchsorted(hits.place, (low, high)).tolist()
+        a, b = bisect_left(hits.place, low), bisect_left(hits.place, high)
         if b - a < need:
             return False
         entries = hits.entry[a:b]
@@ -282,7 +288,7 @@ class ItemIndex:
 class _Hits(NamedTuple):
     """Where in a text n-grams of an item were found, in order, and which."""
 
-    place: np.ndarray
+    place: list[int]
     entry: np.ndarray
 
 
@@ -295,14 +301,14 @@ class _Candidate(NamedTuple):
     words: np.ndarray
 
 
-def _cut(low: int, high: int, width: int, hits: np.ndarray) -> Iterator[tuple[int, int]]:
+def _cut(low: int, high: int, width: int, hits: list[int]) -> Iterator[tuple[int, int]]:
     """A long stretch of text in parts of 3 to 4 widths, cut where there are fewest n-grams of the item around.
 
     A text full of copies then takes a few rounds of alignment, not one for each copy.
     """
     while high - low > 4 * width:
-        a, b = np.searchsorted(hits, (low + 3 * width, low + 4 * width)).tolist()
-        places = np.r_[low + 3 * width, hits[a:b], low + 4 * width]
+        a, b = bisect_left(hits, low + 3 * width), bisect_left(hits, low + 4 * width)
+        places = np.array([low + 3 * width, *hits[a:b], low + 4 * width])
         widest = int(np.argmax(np.diff(places)))
         cut = int(places[widest] + places[widest + 1]) // 2
         yield low, cut
@@ -310,19 +316,19 @@ def _cut(low: int, high: int, width: int, hits: np.ndarray) -> Iterator[tuple[in
     yield low, high
 
 
-def _best(items: list[np.ndarray], texts: list[np.ndarray], packed: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _best(items: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(score, words, last, item_last) of the best local alignment of each text with its item, and where its last word is.
 
-    Without ``packed``, scores only, in short integers, and words are compared by half of their hashes: an upper bound.
+    Scores and numbers of words share an integer, so that of equal scores the one with more words counts.  Words are
+    compared by 32 bits of their hashes; candidates agree by 64 bits already.
     """
     n, length, lanes = max(map(len, items)), max(map(len, texts)), len(items)
-    unit = 1 << 32 if packed else 1
-    kind = np.int64 if packed else np.int16 if n * _MATCH < 1 << 14 else np.int32
-    cut = (lambda h: h) if packed else (lambda h: h.astype(np.uint32))
-    item, text = np.zeros((n, lanes), np.uint64 if packed else np.uint32), np.ones((length, lanes), np.uint64 if packed else np.uint32)
+    kind, shift = (np.int32, 16) if n * _MATCH < 1 << 14 else (np.int64, 32)
+    unit = 1 << shift
+    item, text = np.zeros((n, lanes), np.uint32), np.ones((length, lanes), np.uint32)
     for j, (i, t) in enumerate(zip(items, texts)):
-        item[: len(i), j], text[: len(t), j] = cut(i), cut(t)
-    gain, changed, opened = kind((_MATCH + _CHANGED) * unit + packed), kind(_CHANGED * unit), kind(_OPEN * unit)
+        item[: len(i), j], text[: len(t), j] = i.astype(np.uint32), t.astype(np.uint32)
+    gain, changed, opened = kind((_MATCH + _CHANGED) * unit + 1), kind(_CHANGED * unit), kind(_OPEN * unit)
     slope = (np.arange(n) * _ITEM_GAP * unit).astype(kind)[:, None]
     steps = [1 << p for p in range((n - 1).bit_length())]
     held, gap = np.zeros((n + 1, lanes), kind), np.full((n, lanes), -opened, kind)
@@ -351,9 +357,8 @@ def _best(items: list[np.ndarray], texts: list[np.ndarray], packed: bool) -> tup
         better = np.flatnonzero(top > best)
         if len(better):
             best[better], last[better] = top[better], k
-            if packed:
-                item_last[better] = held[:, better].argmax(axis=0) - 1
-    return (best >> 32, best & 0xFFFFFFFF, last, item_last) if packed else (best, best, last, item_last)
+            item_last[better] = held[:, better].argmax(axis=0) - 1
+    return best >> shift, best & (unit - 1), last, item_last
 
 
 def _lanes(jobs: list[_Candidate], n_words: np.ndarray) -> Iterator[list[_Candidate]]:
@@ -385,16 +390,14 @@ def stretches(index: ItemIndex, jobs: list[_Candidate]) -> list[tuple[object, in
     while jobs:
         rest: list[_Candidate] = []
         for some in _lanes(jobs, index.n_words):
-            score, *_ = _best([index.item_words(j.item) for j in some], [j.words for j in some], False)
-            some = [j for j, s in zip(some, score.tolist()) if 2 * s >= _MATCH * least[j.item]]
-            if not some:
+            score, n, last, i_last = _best([index.item_words(j.item) for j in some], [j.words for j in some])
+            found = np.flatnonzero(2 * score >= _MATCH * least[[j.item for j in some]])
+            if not len(found):
                 continue
-            items = [index.item_words(j.item) for j in some]
-            score, n, last, i_last = _best(items, [j.words for j in some], True)
-            _, _, back, i_back = _best([i[::-1] for i in items], [j.words[: k + 1][::-1] for j, k in zip(some, last.tolist())], True)
-            for j, s, n_found, k, i, r, ir in zip(some, *(x.tolist() for x in (score, n, last, i_last, back, i_back))):
-                if 2 * s < _MATCH * least[j.item]:
-                    continue
+            some = [some[k] for k in found.tolist()]
+            n, last, i_last = n[found], last[found], i_last[found]
+            _, _, back, i_back = _best([index.item_words(j.item)[::-1] for j in some], [j.words[: k + 1][::-1] for j, k in zip(some, last.tolist())])
+            for j, n_found, k, i, r, ir in zip(some, *(x.tolist() for x in (n, last, i_last, back, i_back))):
                 if n_found >= least[j.item]:
                     piece = _Piece(j.low + k - r, j.low + k, n_found, int(index.n_words[j.item]) - 1 - ir, i)
                     pieces.setdefault((j.text, j.item), []).append(piece)
