@@ -48,8 +48,11 @@ class SketchShape:
 
         Once the 2 / share largest prefixes are set aside, any other holds less than share / 2 of the entries, so that
         the root of the rest's second moment is below share * sqrt(1 / (2 * share)), and that of one counter below
-        share * sqrt(1 / (2 * share * width)).
+        share * sqrt(1 / (2 * share * width)).  Every task holds a sketch, and so does the driver: it takes 126 MB for a
+        share of 2**-14, the least that is accepted.
         """
+        if share < Fraction(1, 1 << 14):
+            raise ValueError("a share below 2**-14 needs a sketch of more than 126 MB; count all values instead")
         return cls(width=1 << max(10, math.ceil(math.log2(64 / share))))
 
 

@@ -58,3 +58,9 @@ def test_edges(spark):
     for bad in (0, 1.5, -1):
         with pytest.raises(ValueError):
             frequent_values(none, "value", bad)
+
+
+def test_shares_that_need_too_wide_a_sketch_are_refused():
+    assert HierarchicalSketch(SketchShape.for_share(Fraction(1, 1 << 14))).cells.nbytes < 127 << 20
+    with pytest.raises(ValueError):
+        SketchShape.for_share(Fraction(1, 1 << 15))
