@@ -2,8 +2,9 @@
 
 Every figure is algebraic: Spark aggregates in bounded hash tables inside each map task (spilling to a sort when they
 fill up), and only one compact partial state per key and task is shuffled.  A key that holds a third of all rows thus
-arrives at its reducer as one state per map task.  Distinct counts are not algebraic; they run in two such steps, the
-first on (key, counted value), so that a hot key is spread over all tasks by what is counted.
+arrives at its reducer as one state per map task.  Distinct counts are not algebraic; they take a step of their own on
+(key, counted value), which spreads a hot key over all tasks by what is counted and carries nothing else.  Its rows, one
+for each distinct value, join the rows of the other figures in the last aggregate, combined in the map tasks like them.
 """
 
 from __future__ import annotations
@@ -14,8 +15,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: How a figure's partial state over (key, counted value) combines into the figure of the key.
-_MERGE = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
+_FIGURES = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
 
 
 def key_stats(
@@ -34,28 +34,27 @@ def key_stats(
     names of outputs do no harm.  An empty table gives an empty result.
     """
     figures = dict(figures or {})
-    bad = [kind for kind, _ in figures.values() if kind not in _MERGE]
+    bad = [kind for kind, _ in figures.values() if kind not in _FIGURES]
     if bad:
         raise ValueError(f"not an algebraic figure: {bad[0]}")
     key = {f"__k{i}": c for i, c in enumerate(keys)}
     unit = {f"__u{i}": c for i, c in enumerate(distinct)}
     value = {f"__v{i}": c for i, (_, c) in enumerate(figures.values()) if c is not None}
     narrow = df.select(*[df[c].alias(a) for a, c in (key | unit | value).items()])
+    rows, n_rows = narrow.select(*key, *value), F.count(F.lit(1))
+    if unit:
+        rows, n_rows = rows.select("*", F.lit(1).alias("__n"), F.lit(0).alias("__d")), F.sum("__n")
+        units = narrow.select(*key, *unit).distinct()
+        nothing = [F.lit(None).cast(narrow.schema[v].dataType).alias(v) for v in value]
+        rows = rows.unionByName(units.select(*key, *nothing, F.lit(0).alias("__n"), F.lit(1).alias("__d")))
 
-    def first(i: int, kind: str, c: str | None) -> Column:
-        if kind == "count":
-            return F.count(F.lit(1) if c is None else F.col(f"__v{i}"))
-        return getattr(F, kind)(f"__v{i}")
+    def figure(i: int, kind: str, c: str | None) -> Column:
+        return n_rows if c is None else _FIGURES[kind](f"__v{i}")
 
-    partial = [F.count(F.lit(1)).alias("__n")] + [first(i, kind, c).alias(f"__f{i}") for i, (kind, c) in enumerate(figures.values())]
-    merged = [F.col("__n").alias(rows_name)] + [F.col(f"__f{i}").alias(name) for i, name in enumerate(figures)]
-    result = narrow.groupBy(*key, *unit).agg(*partial)
-    if unit:
-        again = [F.sum("__n").alias("__n"), F.count(F.lit(1)).alias("__d")]
-        again += [_MERGE[kind](f"__f{i}").alias(f"__f{i}") for i, (kind, _) in enumerate(figures.values())]
-        result = result.groupBy(*key).agg(*again)
-        merged.append(F.col("__d").alias(distinct_name))
-    return result.select(*[F.col(a).alias(c) for a, c in key.items()], *merged)
+    computed = [n_rows, *(figure(i, kind, c) for i, (kind, c) in enumerate(figures.values())), *([F.sum("__d")] if unit else [])]
+    result = rows.groupBy(*key).agg(*[c.alias(f"__o{i}") for i, c in enumerate(computed)])
+    outputs = [rows_name, *figures, *([distinct_name] if unit else [])]
+    return result.select(*[F.col(a).alias(c) for a, c in key.items()], *[F.col(f"__o{i}").alias(c) for i, c in enumerate(outputs)])
 
 
 def heavy_keys(df: DataFrame, keys: Sequence[str], share: float | str, rows_name: str = "n_rows") -> DataFrame:

@@ -1,6 +1,6 @@
 """From queries to DataFrame plans.
 
-Three strategies give the same result:
+Four strategies give the same result:
 
 ``scan``
     One pass over the documents; the query becomes one boolean expression over their entries.
@@ -12,6 +12,10 @@ Three strategies give the same result:
 ``joins``
     Set algebra: semi joins for conjunctions, anti joins for negations, unions for disjunctions.
 
+``lookup``
+    For queries that few documents match: the keys are found as by ``flags``, at once, and written.  Where there are no
+    more than ``LOOKUP_KEYS``, they are broadcast, and their bounds reach the scan of the documents, which are not moved.
+
 Term look-ups are equality predicates on (field, term), by which the postings are sorted, and reach the Parquet scan, as
 does the literal prefix of an anchored regular expression.
 """
@@ -23,11 +27,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexigrove.durable import durable
 from lexigrove.functions.matching import any_matches, by_automaton, matches
 from lexigrove.model import ID_FIELD, KEY
 from lexigrove.query import And, Not, Or, Query, Regexp, Term
 
-STRATEGIES = ("auto", "scan", "flags", "joins")
+STRATEGIES = ("auto", "scan", "flags", "joins", "lookup")
+#: Keys of 16 bytes up to which a look-up broadcasts, and segments up to which it names them.
+LOOKUP_KEYS, _LOOKUP_SEGMENTS = 1_000_000, 1_000
 
 
 def leaf_predicate(leaf: Query, field: Column, term: Column) -> Column:
@@ -154,4 +161,18 @@ def matching_documents(query: Query, docs: DataFrame, postings: DataFrame | None
     query = _checked(query, strategy)
     if postings is None or strategy == "scan":
         return docs.where(scan_predicate(query))
-    return docs.join(matching_keys(query, docs, postings, strategy, ids_posted), list(KEY), "left_semi")
+    keys = matching_keys(query, docs, postings, strategy, ids_posted)
+    return _fetched(docs, keys) if strategy == "lookup" else docs.join(keys, list(KEY), "left_semi")
+
+
+def _fetched(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The documents of the keys, whose number is looked at first."""
+    keys = durable(keys)
+    n, low, high = keys.agg(F.count(F.lit(1)), F.min("doc_ord"), F.max("doc_ord")).first()
+    if n > LOOKUP_KEYS:
+        return docs.join(keys, list(KEY), "left_semi")
+    near = docs.where(F.col("doc_ord").between(low, high) if n else F.lit(False))
+    segments = [r[0] for r in keys.select("segment_id").distinct().limit(_LOOKUP_SEGMENTS + 1).collect()]
+    if len(segments) <= _LOOKUP_SEGMENTS:
+        near = near.where(F.col("segment_id").isin(segments))
+    return near.join(F.broadcast(keys), list(KEY), "left_semi")

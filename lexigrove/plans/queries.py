@@ -87,6 +87,7 @@ _search("regexp_folded", Regexp("zone", "(?i)HARBOR-[[:digit:]]$"), _r("zone", "
 _search("regexp_alternation", _WORDY, _W_WORDY)  # repeated groups, matched by an automaton
 _search("regexp_alternation_scan", _WORDY, _W_WORDY, "scan")
 _search("regexp_nested_loops", And(Regexp("host", "(?:[a-z]+[0-9]*)+-n(?:0|1|2)*$"), Not(_LIVE)), _r("host", "(?:[a-z]+[0-9]*)+-n(?:0|1|2)*$") + f" AND NOT {_W_LIVE}")
+_search("search_lookup", And(_RELAY, _CREW), f"{_W_RELAY} AND {_W_CREW}", "lookup")
 _search("negation", Not(_LIVE), f"NOT {_W_LIVE}")
 _search("negation_absent_field", Not(Term("shard", "50")), f"NOT {_t('shard', '50')}")
 _search("conjunction", And(_LIVE, _CREW, Not(_HALL)), f"{_W_LIVE} AND {_W_CREW} AND NOT {_W_HALL}")

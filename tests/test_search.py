@@ -54,7 +54,7 @@ queries = st.recursive(
 @given(queries)
 def test_plans_agree_with_model(snapshot, q):
     expected = sorted((d[0], d[1]) for d in DATA if _model(q, d))
-    for strategy in ("scan", "flags", "joins"):
+    for strategy in ("scan", "flags", "joins", "lookup"):
         found = sorted((r.segment_id, r.doc_ord) for r in snapshot.match(q, strategy).collect())
         assert found == expected, (strategy, str(q))
 
@@ -129,3 +129,25 @@ def test_extra_columns_pass_through(spark, snapshot):
     docs = spark.createDataFrame(DATA, DOCS).selectExpr("*", "id AS term", "doc_ord AS field")
     found = Snapshot(docs, to_postings(docs)).search(Term("color", "red"))
     assert found.columns == docs.columns and found.count() == 1
+
+
+def test_a_rare_term_moves_no_documents(spark, tmp_path, capsys):
+    from lexigrove.plans import compile as plans
+    from lexigrove.sources import store
+
+    store.save(spark.createDataFrame([d for d in DATA if d[0] == 0], DOCS), str(tmp_path), 0)
+    stored = store.load(spark, str(tmp_path))
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, -1)
+    try:
+        found = stored.search(And(Term("fruit", "apple"), Not(Term("color", "red"))), "lookup")
+        found.explain()
+        plan = capsys.readouterr().out
+        assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan and "GreaterThanOrEqual(doc_ord,3)" in plan and "In(segment_id" in plan or "EqualTo(segment_id,0)" in plan
+        assert _ids(found) == [(0, 3)] and _ids(stored.search(Term("fruit", "none"), "lookup")) == []
+        limit, plans.LOOKUP_KEYS = plans.LOOKUP_KEYS, 0
+        assert _ids(stored.search(Term("fruit", "apple"), "lookup")) == [(0, 1), (0, 3)]
+    finally:
+        plans.LOOKUP_KEYS = limit
+        spark.conf.set(threshold, before)
