@@ -44,6 +44,8 @@ _SEEDS, _SHARED = 0.7, 0.15
 _MATCH, _CHANGED, _OPEN, _TEXT_GAP, _ITEM_GAP = 32, 16, 32, 3, 4
 #: Words of the least piece that is joined to others, and words of a hole in the text for each word of the pieces around it.
 _PIECE, _HOLE = 8, 4
+#: The least score of a stretch for each word wanted.  Where every other word of an item is changed, it is half a word.
+_DENSE = 0.4
 #: Rarity is counted in this many buckets of n-gram hashes.
 _BUCKETS = 20
 _CHUNK = 1 << 20
@@ -371,13 +373,14 @@ def _lanes(jobs: list[_Candidate], n_words: np.ndarray) -> Iterator[list[_Candid
 
 
 class _Piece(NamedTuple):
-    """Where a piece of an item begins and ends in the text, its words, and where it begins and ends in the item."""
+    """Where a piece of an item begins and ends in the text, its words, where it begins and ends in the item, its score."""
 
     first: int
     last: int
     words: int
     i_first: int
     i_last: int
+    score: float  # in words, less what was changed and passed over
 
 
 def stretches(index: ItemIndex, jobs: list[_Candidate]) -> list[tuple[object, int, int, int, int]]:
@@ -395,11 +398,11 @@ def stretches(index: ItemIndex, jobs: list[_Candidate]) -> list[tuple[object, in
             if not len(found):
                 continue
             some = [some[k] for k in found.tolist()]
-            n, last, i_last = n[found], last[found], i_last[found]
+            score, n, last, i_last = (x[found] for x in (score, n, last, i_last))
             _, _, back, i_back = _best([index.item_words(j.item)[::-1] for j in some], [j.words[: k + 1][::-1] for j, k in zip(some, last.tolist())])
-            for j, n_found, k, i, r, ir in zip(some, *(x.tolist() for x in (n, last, i_last, back, i_back))):
+            for j, s, n_found, k, i, r, ir in zip(some, *(x.tolist() for x in (score, n, last, i_last, back, i_back))):
                 if n_found >= least[j.item]:
-                    piece = _Piece(j.low + k - r, j.low + k, n_found, int(index.n_words[j.item]) - 1 - ir, i)
+                    piece = _Piece(j.low + k - r, j.low + k, n_found, int(index.n_words[j.item]) - 1 - ir, i, s / _MATCH)
                     pieces.setdefault((j.text, j.item), []).append(piece)
                 for a, b in ((0, k - r), (k + 1, len(j.words))):
                     if b - a >= least[j.item]:
@@ -408,7 +411,8 @@ def stretches(index: ItemIndex, jobs: list[_Candidate]) -> list[tuple[object, in
     out = []
     for (text, item), found in pieces.items():
         while chains := _joined(sorted(found), float(index.wanted[item]), int(index.n_words[item])):
-            out += [(text, item, n, chain[0].first, chain[-1].last) for chain, n in chains]
+            dense = _DENSE * float(index.wanted[item])
+            out += [(text, item, n, chain[0].first, chain[-1].last) for chain, n in chains if sum(p.score for p in chain) >= dense]
             used = {p for chain, _ in chains for p in chain}
             found = [p for p in found if p not in used]
     return out
@@ -421,7 +425,7 @@ def _joined(pieces: list[_Piece], wanted: float, n_item: int) -> list[tuple[list
     as many.  Pieces may share a few words of the item, which count once.
     """
     best: list[tuple[int, int]] = []  # words and the piece before
-    for q, (first, _, n, i_first, i_last) in enumerate(pieces):
+    for q, (first, _, n, i_first, i_last, _) in enumerate(pieces):
         top = (n, -1)
         for p in range(q - 1, -1, -1):
             before = pieces[p]
@@ -554,7 +558,8 @@ def leaks(
     unchanged, and at least ``least_words`` of them (all of an item that has fewer).  It is made of pieces.  Within a
     piece, a changed word costs half a word, a gap one word, 3/32 for each word put in and 1/8 for each left out, and the
     piece goes on as long as what follows outweighs that.  Pieces of 8 words or more, in the item's order, are joined over
-    holes of up to 4 times their words.
+    holes of up to 4 times their words.  What is left of a leak's words after these costs is 0.4 of the wanted words at
+    least, so that stock phrases strung out over a long text are none; every other word of an item still is one.
     ``first_word`` and ``last_word`` count the folded words of the document; ``text_hash`` tells texts of one id apart.
     Null and empty texts and items have no leaks, nor have items of fewer than 4 words.  Equal documents or items give a
     row each, null ids included; an item that a document holds several times has a row for each stretch.
