@@ -479,7 +479,7 @@ def _scan(index: ItemIndex, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
 
     def flush() -> Iterator[pa.RecordBatch]:
         rows = []
-        for (doc_id, text_hash), item, n, first, last in stretches(index, waiting):
+        for (_, doc_id, text_hash), item, n, first, last in stretches(index, waiting):
             n_item = int(index.n_words[item])
             rows += [(doc_id, text_hash, index.item_ids[item], n, n_item, n / n_item, first, last)] * index.times[item]
         waiting.clear()
@@ -487,10 +487,10 @@ def _scan(index: ItemIndex, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)], names=_NAMES)
 
     size = 0
-    for batch in batches:
+    for k, batch in enumerate(batches):
         doc_ids, texts, text_hashes = (c.to_pylist() for c in batch.columns)
         for c in _candidates(index, texts):
-            waiting.append(c._replace(text=(doc_ids[c.text], text_hashes[c.text])))
+            waiting.append(c._replace(text=((k, c.text), doc_ids[c.text], text_hashes[c.text])))  # equal rows are told apart
             size += len(c.words)
             if len(waiting) >= 256 or size >= _CHUNK:
                 yield from flush()

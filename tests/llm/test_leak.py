@@ -212,3 +212,13 @@ def test_regular_changes_short_items_and_long_texts(spark):
     df = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id BIGINT, text STRING")
     found = {(r.doc_id, r.item_id) for r in leaks(df, its).collect()}
     assert found == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 5), (7, 4), (9, 5), (11, 1), (12, 1), (12, 9)}
+
+
+def test_equal_documents_give_equal_rows(spark):
+    rng = np.random.default_rng(23)
+    item, fill = _text(rng, 60), [f"other{i}" for i in range(60)]
+    text = " ".join(item[:20] + fill[:50] + item[20:40] + fill + item[:18] + fill[:40] + item[18:50])
+    its = spark.createDataFrame([(1, " ".join(item))], "item_id BIGINT, text STRING")
+    one = sorted(tuple(r)[2:] for r in leaks(spark.createDataFrame([(1, text)], "doc_id BIGINT, text STRING"), its).collect())
+    many = sorted(tuple(r)[2:] for r in leaks(spark.createDataFrame([(1, text)] * 5 + [(None, text)] * 3, "doc_id BIGINT, text STRING").coalesce(1), its).collect())
+    assert len(one) == 2 and many == sorted(one * 8)
