@@ -146,14 +146,25 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"slot": pa.array(sums, pa.int32()), "cells": pa.array([b.tobytes() for b in sums.values()])})
 
 
+#: Input of one partial sketch: little enough to be read again when a task is lost, much beside the sketch's 4 MB.
+_INPUT = 8 << 30
+
+
+def _tasks(hashes: DataFrame) -> int:
+    """Four partial sketches a core or one for each shuffle partition, and more where they would read more than 8 GB each."""
+    spark = hashes.sparkSession
+    size = int(str(hashes._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # as Spark estimates it, without a job
+    least = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(least, min(1 << 15, math.ceil(size / _INPUT)))
+
+
 def build_sketch(hashes: DataFrame, shape: SketchShape, tasks: int | None = None) -> HierarchicalSketch:
     """The sketch of a one-column table of 64-bit hashes.
 
-    At most ``tasks`` partial sketches are made (default: four for each core, or one for each shuffle partition), so that what is shuffled does not grow
-    with the number of input splits; only the finished sketch, whose size ``shape`` fixes, comes to the driver.
+    At most ``tasks`` partial sketches are made (by default as many as ``_tasks`` says), so that what is shuffled does not
+    grow with the number of input splits; only the finished sketch, whose size ``shape`` fixes, comes to the driver.
     """
-    spark = hashes.sparkSession
-    tasks = tasks or max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = tasks or _tasks(hashes)
     slots = len(HierarchicalSketch(shape).cells) // _BLOCK
     partial = hashes.coalesce(tasks).mapInArrow(_partial(shape), "slot INT, cells BINARY")
     sketch = HierarchicalSketch(shape)

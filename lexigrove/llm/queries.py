@@ -123,6 +123,13 @@ def p8_classes(spark: SparkSession, folder: str) -> DataFrame:
     return glyphs.lookalike_links(_classes(spark, folder))
 
 
+def p8_form_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """How many documents, different texts and different consistent forms there are."""
+    forms = glyphs.with_consistent_text(table(spark, folder, "documents").where("text IS NOT NULL"), "doc_id", "text")
+    digests = forms.select(F.md5("text").alias("text"), F.md5("consistent_text").alias("form"))
+    return digests.agg(F.count(F.lit(1)).alias("n_documents"), F.count_distinct("text").alias("n_texts"), F.count_distinct("form").alias("n_forms"))
+
+
 def p8_consistent(spark: SparkSession, folder: str) -> DataFrame:
     return glyphs.with_consistent_text(table(spark, folder, "documents"), "doc_id", "text").select("doc_id", "consistent_text")
 
@@ -131,7 +138,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p2_found, p2_counts, p2_error_rate, p3_found, p3_frequent_values, p4_found, p4_pair_counts, p5_found, p5_term_frequencies,
-        p6_found, p6_valid, p6_packed, p7_found, p7_leaks, p7_scrubbed, p8_found, p8_classes, p8_consistent,
+        p6_found, p6_valid, p6_packed, p7_found, p7_leaks, p7_scrubbed, p8_found, p8_classes, p8_form_counts, p8_consistent,
     )
 }
 
@@ -176,6 +183,9 @@ SQL = {
     "p2_counts": """
         SELECT count(*) AS n_rows, count(*) FILTER (id <> '' AND seq > first) AS n_seen
         FROM (SELECT seq, id, min(seq) OVER (PARTITION BY id) AS first FROM docs)""",
+    # by a tokenizer that takes words, up to three digits and single marks; no text lies near the limit
+    "p6_found": r"SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '[\p{L}\p{M}]+|\p{N}{1,3}|[^\s\p{L}\p{M}\p{N}]')) > 1024",
+    "p8_form_counts": f"WITH {_LOOKS} SELECT count(*) AS n_documents, count(DISTINCT text) AS n_texts, count(DISTINCT form) AS n_forms FROM looks",
     "p6_valid": "SELECT count(*) AS n_documents, 0 AS n_overfull, 0 AS n_cut_needlessly, true AS complete, true AS \"full\" FROM documents",
     # every item's distinct 4-grams, by folded words, and the part of them that a document holds: cases hold more than half, others less than 0.4
     "p7_found": f"""

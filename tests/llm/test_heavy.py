@@ -64,3 +64,14 @@ def test_shares_that_need_too_wide_a_sketch_are_refused():
     assert HierarchicalSketch(SketchShape.for_share(Fraction(1, 1 << 14))).cells.nbytes < 127 << 20
     with pytest.raises(ValueError):
         SketchShape.for_share(Fraction(1, 1 << 15))
+
+
+def test_partial_sketches_follow_the_input(spark, monkeypatch):
+    from lexigrove.llm import heavy
+
+    hashes = spark.range(1000).selectExpr("id AS h")
+    usual = heavy._tasks(hashes)
+    assert usual == max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    monkeypatch.setattr(heavy, "_INPUT", 80)
+    assert heavy._tasks(hashes) == 100
+    assert heavy.build_sketch(hashes, SketchShape(1 << 10)).total == 1000

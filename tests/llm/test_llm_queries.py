@@ -31,7 +31,7 @@ def test_queries_without_sql(spark):
     from lexigrove.llm.leak import words
     from lexigrove.llm.tokens import DEFAULT_RANKS, encoding
 
-    assert set(queries.QUERIES) - set(queries.SQL) == {"p2_error_rate", "p6_found", "p6_packed", "p7_leaks", "p7_scrubbed", "p8_consistent"}
+    assert set(queries.QUERIES) - set(queries.SQL) == {"p2_error_rate", "p6_packed", "p7_leaks", "p7_scrubbed", "p8_consistent"}
     documents = connection().execute("SELECT doc_id, text FROM documents").df().set_index("doc_id")["text"]
     documents = {k: None if t is None or t != t else t for k, t in documents.items()}
 
