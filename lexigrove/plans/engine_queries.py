@@ -278,7 +278,8 @@ def store_merge(spark: SparkSession, folder: str) -> DataFrame:
     """Two segments of the store merged into a third, the later one first."""
     root = _two_segments(spark, folder)
     store.merge(spark, root, [1, 0], 2)
-    return store.load(spark, root, [2]).docs.select("doc_ord", "id")
+    store.remove(spark, root, [0, 1])
+    return store.load(spark, root).docs.select("doc_ord", "id")
 
 
 @_query(_NUMBERED)

@@ -172,6 +172,14 @@ def load(spark: SparkSession, root: str, segment_ids: list[int] | None = None) -
     return Snapshot(docs, postings, ids_posted=True)
 
 
+def remove(spark: SparkSession, root: str, segment_ids: list[int]) -> None:
+    """Remove segments.  Their metadata go first, so that a crash leaves nothing that is read in part."""
+    for s in segment_ids:
+        folders = _folders(spark, root, f"segment={s}/*")
+        for p in sorted(folders, key=lambda p: _number(p.getName(), "meta") is None) + _folders(spark, root, f"segment={s}"):
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def vacuum(spark: SparkSession, root: str) -> int:
     """Remove the folders of segments that newer ones have superseded, and return their number.  Not while they are read."""
     current, removed = _current(spark, root), 0
@@ -187,7 +195,7 @@ def vacuum(spark: SparkSession, root: str) -> int:
 def merge(spark: SparkSession, root: str, segment_ids: list[int], target: int) -> None:
     """Write the documents of several segments as one new segment, in the order given; of one id the first stays.
 
-    The sources stay as they are; drop them once readers have moved on.
+    The sources stay as they are; ``remove`` them once readers have moved on.
     """
     if target in segment_ids:
         raise StoreError("a segment cannot be merged into itself")

@@ -112,6 +112,9 @@ def test_store(spark, tmp_path):
     assert store.load(spark, root, [4]).size() == 2
     store.merge(spark, root, [4, 3], 5)
     assert [(r.doc_ord, r.id) for r in store.load(spark, root, [5]).docs.orderBy("doc_ord").collect()] == [(0, "b"), (1, "c"), (2, "a")]
+    store.save(docs, root, 6)
+    store.remove(spark, root, [6, 7])
+    assert store.segments(spark, root) == [3, 4, 5] and not (tmp_path / "store" / "segment=6").exists()
     with pytest.raises(store.StoreError):
         store.merge(spark, root, [3, 4], 3)
     with pytest.raises(store.StoreError):
