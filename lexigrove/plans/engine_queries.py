@@ -44,9 +44,9 @@ def _refused(error: type[Exception], f: Callable[[], object]) -> bool:
 # Look-ups and dictionary
 
 
-@_query("SELECT seq, id FROM docs WHERE segment_id = 1 AND doc_ord = 3")
+@_query("SELECT seq, id FROM docs WHERE segment_id = 0 AND doc_ord = 3")
 def point_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    row = corpus(spark, folder).doc(1, 3)
+    row = corpus(spark, folder).doc(0, 3)
     return spark.createDataFrame([(row["seq"], row["id"])], "seq BIGINT, id STRING")
 
 
@@ -119,9 +119,9 @@ def postings_insert(spark: SparkSession, folder: str) -> DataFrame:
     return sets.insert(_shard(spark, folder), 1_000_000_007)
 
 
-@_query(f"SELECT true AS has_least, false AS has_other, count(*) = 0 AS is_empty, true AS cleared_is_empty, true AS empty_has_no_bounds FROM ({_p('shard', '50')})")
+@_query(f"SELECT true AS has_least, false AS has_other, count(*) = 0 AS is_empty, true AS cleared_is_empty, true AS empty_has_no_bounds FROM ({_p('unit', 'seconds')})")
 def postings_tests(spark: SparkSession, folder: str) -> DataFrame:
-    p = _shard(spark, folder)
+    p = _postings_of(spark, folder, "unit", "seconds").select("doc_ord")
     low, _ = sets.bounds(p)
     none = sets.cleared(p)
     row = (sets.contains(p, low), sets.contains(p, -1), sets.is_empty(p), sets.is_empty(none), _refused(EmptyPostings, lambda: sets.bounds(none)))
@@ -235,7 +235,10 @@ def _two_segments(spark: SparkSession, folder: str, fmt: str = store.FORMAT) ->
     return root
 
 
-@_query("SELECT segment_id % 2 AS segment_id, 1 AS major, 'parquet' AS format, count(*) AS num_docs FROM docs GROUP BY segment_id % 2")
+@_query(
+    "SELECT s.id AS segment_id, 1 AS major, 'parquet' AS format, (SELECT count(*) FROM docs WHERE segment_id % 2 = s.id) AS num_docs "
+    "FROM (SELECT unnest([0, 1])::BIGINT AS id) s"
+)
 def store_metadata(spark: SparkSession, folder: str) -> DataFrame:
     root = _two_segments(spark, folder)
     if not _refused(store.StoreError, lambda: store.metadata(spark, root, 2)):

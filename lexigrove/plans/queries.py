@@ -209,9 +209,9 @@ _set_query("postings_union", sets.union, "UNION")
 _set_query("postings_difference", sets.difference, "EXCEPT")
 
 
-@_query(f"SELECT min(doc_ord) AS low, max(doc_ord) AS high, count(DISTINCT doc_ord) AS n FROM ({_p('shard', '50')})")
+@_query(f"SELECT min(doc_ord) AS low, max(doc_ord) AS high, count(DISTINCT doc_ord) AS n FROM ({_p('unit', 'seconds')})")
 def postings_bounds(spark: SparkSession, folder: str) -> DataFrame:
-    found = _postings_of(spark, folder, "shard", "50").select("doc_ord")
+    found = _postings_of(spark, folder, "unit", "seconds").select("doc_ord")
     return spark.createDataFrame([(*sets.bounds(found), sets.size(found))], "low BIGINT, high BIGINT, n BIGINT")
 
 
